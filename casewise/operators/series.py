@@ -110,11 +110,15 @@ def acf(df: DataFrame, series: str, t: str, value: str, max_lag: int) -> DataFra
     whole = W.partitionBy(series)
     ordered = whole.orderBy(t)
     centred = df.select(series, t, (F.col(value) - F.avg(value).over(whole)).alias("_x"))
-    lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("_x") * F.lag("_x", k).over(ordered)).alias("p")) for k in range(max_lag + 1)])
-    products = centred.select(series, F.explode(lags).alias("_l"))
-    sums = products.groupBy(series, "_l.lag").agg(F.sum("_l.p").alias("_s"), F.count(F.lit(1)).alias("n"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(whole)
-    return sums.withColumn("acf", F.try_divide(F.col("_s"), zero)).where(F.col("lag") < F.col("n")).drop("_s")
+    lags = range(max_lag + 1)
+    products = centred.select(series, *[(F.col("_x") * F.lag("_x", k).over(ordered)).alias(f"_p{k}") for k in lags])
+    sums = [F.struct(F.lit(k).alias("lag"), F.sum(f"_p{k}").alias("s"), F.count(f"_p{k}").alias("n")) for k in lags]
+    one = products.groupBy(series).agg(F.array(*sums).alias("_l"), F.sum("_p0").alias("_zero"))
+    return (
+        one.select(series, "_zero", F.explode("_l").alias("_k"))
+        .select(series, "_k.lag", "_k.n", F.try_divide(F.col("_k.s"), F.col("_zero")).alias("acf"))
+        .where(F.col("n") > 0)
+    )
 
 
 def pacf(correlations: DataFrame, series: str) -> DataFrame:
@@ -146,10 +150,11 @@ def pacf(correlations: DataFrame, series: str) -> DataFrame:
 
 
 def ljung_box(correlations: DataFrame, series: str) -> DataFrame:
-    """Portmanteau statistic over all lags of an ACF table."""
-    part = F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))
-    return correlations.where(F.col("lag") > 0).groupBy(series).agg(
-        F.max("lag").alias("lags"), (F.max("n") * (F.max("n") + 2) * F.sum(part)).alias("statistic")
+    """Portmanteau statistic over all lags of an ACF table (``n`` pairs at a lag are length less lag)."""
+    part = F.when(F.col("lag") > 0, F.col("acf") * F.col("acf") / F.col("n"))
+    length = F.max(F.col("n") + F.col("lag"))
+    return correlations.groupBy(series).agg(
+        F.max("lag").alias("lags"), (length * (length + 2) * F.sum(part)).alias("statistic")
     )
 
 
