@@ -124,29 +124,25 @@ def acf(df: DataFrame, series: str, t: str, value: str, max_lag: int) -> DataFra
 def pacf(correlations: DataFrame, series: str) -> DataFrame:
     """Partial autocorrelation from an ACF table by the Durbin-Levinson recursion.
 
-    Works on one short array per series (one number per lag).
+    One short array per series (a number per lag) is folded with array functions.
     """
-    import numpy as np
-    import pandas as pd
-
-    def recurse(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        rho = pdf["acf"].to_numpy(dtype=float)
-        out, phi = [], np.zeros(0)
-        for k in range(1, len(rho)):
-            back = rho[1:k][::-1]
-            bottom = 1.0 - phi @ rho[1:k]
-            last = (rho[k] - phi @ back) / bottom if bottom else np.nan
-            phi = np.append(phi - last * phi[::-1], last)
-            out.append(last)
-        return pd.DataFrame({
-            series: pdf[series].iloc[0], "lag": np.arange(1, len(rho), dtype="int32"), "pacf": np.array(out, dtype=float)
-        })
-
-    key = correlations.schema[series].dataType.simpleString()
-    return correlations.select(series, "lag", "acf").groupBy(series).applyInPandas(
-        recurse, f"{series} {key}, lag int, pacf double"
-    )
+    rho = F.col("_rho")
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    def step(state, k):
+        phi, known = state["phi"], F.slice(rho, F.lit(2), k - 1)
+        top = F.get(rho, k) - dot(phi, F.reverse(known))
+        last = F.try_divide(top, 1 - dot(phi, known))
+        turned = F.zip_with(phi, F.reverse(phi), lambda x, y: x - last * y)
+        return F.struct(F.array_append(turned, last).alias("phi"), F.array_append(state["out"], last).alias("out"))
+
+    empty = F.array().cast("array<double>")
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(rho) - 1), F.struct(empty.alias("phi"), empty.alias("out")), step)["out"]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda p: p["acf"])
+    packed = correlations.groupBy(series).agg(ordered.alias("_rho")).where(F.size("_rho") > 1)
+    return packed.select(series, F.posexplode(folded).alias("_i", "pacf")).select(series, (F.col("_i") + 1).alias("lag"), "pacf")
 
 
 def ljung_box(correlations: DataFrame, series: str) -> DataFrame:

@@ -107,4 +107,10 @@ LENS_SQL = {
     "coarse": """
         SELECT doc_id AS key, quality AS label, least(n_chars, 4000) // 500 / 8 AS score
         FROM labels JOIN documents USING (doc_id)""",
+    "risk": """
+        SELECT o_orderkey AS key, CASE WHEN o_totalprice / 5000 + (o_orderkey * 7919) % 101 > 100 THEN 1 ELSE 0 END AS label,
+               o_totalprice / 100000 AS price, c_acctbal / 1000 AS income, CAST(o_custkey % 13 AS DOUBLE) AS tenure,
+               CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice / 50000 + (o_orderkey % 17) / 10 END AS span
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
 }

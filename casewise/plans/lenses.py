@@ -258,3 +258,18 @@ def coarse(spark, folder):
         F.col("quality").alias("label"),
         (F.floor(F.least(F.col("n_chars"), F.lit(4000)) / 500) / 8).alias("score"),
     )
+
+
+def risk(spark, folder):
+    """A binary outcome with a real signal, two weak predictors and one that overlaps another."""
+    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
+    key, total = F.col("o_orderkey"), F.col("o_totalprice")
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+        key.alias("key"),
+        F.when(total / 5000 + (key * 7919) % 101 > 100, 1).otherwise(0).alias("label"),
+        (total / 100000).alias("price"),
+        (F.col("c_acctbal") / 1000).alias("income"),
+        (F.col("o_custkey") % 13).cast("double").alias("tenure"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+        F.when(key % 10 != 0, total / 50000 + (key % 17) / 10).alias("span"),
+    )

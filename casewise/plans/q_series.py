@@ -127,7 +127,14 @@ def _(spark, folder):
     return tidy(_residual_acf(spark, folder))
 
 
-@query("pacf")
+@query("pacf", SERIES, FIT_SQL.replace("WITH sized", "WITH RECURSIVE sized").rstrip() + """,
+    rho AS (SELECT series, list(acf ORDER BY lag) AS r FROM acf WHERE lag > 0 GROUP BY series),
+    run AS (SELECT series, 1 AS k, r, [r[1]] AS phi, r[1] AS last FROM rho
+            UNION ALL
+            SELECT series, k + 1, r, list_append(list_transform(phi, lambda x, i: x - nxt * phi[k + 1 - i]), nxt), nxt
+            FROM (SELECT *, (r[k + 1] - list_sum(list_transform(phi, lambda x, i: x * r[k + 1 - i])))
+                            / (1 - list_sum(list_transform(phi, lambda x, i: x * r[i]))) AS nxt FROM run WHERE k < 12))
+    SELECT series, k AS lag, round(last, 6) AS pacf FROM run""")
 def _(spark, folder):
     return tidy(ts.pacf(_residual_acf(spark, folder), "series"))
 
