@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["q_sources", "q_tables", "q_aggregates", "q_series", "q_models"]
+GROUPS = ["q_sources", "q_tables", "q_aggregates", "q_series", "q_models", "q_recommend"]
 
 
 def load():
