@@ -21,26 +21,28 @@ class LogisticFit:
     std_error: list[float]
     p_value: list[float]
     aic: float
-    deviance: float
 
 
-def fit_logistic(rows: DataFrame, label: str, predictors: Sequence[str], tol: float = 1e-10) -> LogisticFit:
-    """Fit on complete rows; each iteration is one distributed pass."""
+def fit_logistic(rows: DataFrame, label: str, predictors: Sequence[str], tol: float = 1e-8) -> LogisticFit:
+    """Fit on complete rows; each iteration is one distributed pass over the cached features."""
     data = complete_rows(rows, [label, *predictors])
-    features = VectorAssembler(inputCols=list(predictors), outputCol="_features").transform(data)
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol=label, featuresCol="_features", tol=tol, maxIter=50
-    ).fit(features)
-    summary = model.summary
-    # Spark lists the intercept last in the standard errors and p-values.
-    errors, p = list(summary.coefficientStandardErrors), list(summary.pValues)
+    assembled = VectorAssembler(inputCols=list(predictors), outputCol="_features").transform(data)
+    features = assembled.select(label, "_features").persist()
+    try:
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", labelCol=label, featuresCol="_features", tol=tol, maxIter=50
+        ).fit(features)
+        summary = model.summary
+        # Spark lists the intercept last in the standard errors and p-values.
+        errors, p, aic = list(summary.coefficientStandardErrors), list(summary.pValues), float(summary.aic)
+    finally:
+        features.unpersist()
     return LogisticFit(
         terms=["(Intercept)", *predictors],
         estimate=[float(model.intercept), *[float(b) for b in model.coefficients]],
         std_error=[errors[-1], *errors[:-1]],
         p_value=[p[-1], *p[:-1]],
-        aic=float(summary.aic),
-        deviance=float(summary.deviance),
+        aic=aic,
     )
 
 

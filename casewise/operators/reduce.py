@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from casewise.functions.hashing import key_hash
 
 
+# Rows one training task should hold: iterative fits on small tables pay per task and iteration.
+ROWS_PER_TASK = 20_000
+ITERATIONS = 30
+
+
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    """Merge partitions (never split) so a table of ``n`` rows is trained in fitting tasks."""
+    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+
+
 def fit_pca(df: DataFrame, array_col: str, k: int):
     """Principal components of the centred data; the covariance is summed on the executors."""
     vectors = df.select(array_to_vector(array_col).alias("_v"))
@@ -54,28 +64,29 @@ def kernel_classifier(train: DataFrame, label: str, n: int, cost: float = 1.0, h
     """A linear head on the kernel features: ``logistic`` (multinomial) or ``svc`` (one against the rest)."""
     penalty = 1.0 / (cost * max(n, 1))
     if head == "logistic":
-        learner = LogisticRegression(labelCol=label, featuresCol="_features", regParam=penalty, maxIter=50)
+        learner = LogisticRegression(labelCol=label, featuresCol="_features", regParam=penalty, maxIter=ITERATIONS)
     elif head == "svc":
-        svc = LinearSVC(regParam=penalty, maxIter=50, featuresCol="_features")
+        svc = LinearSVC(regParam=penalty, maxIter=ITERATIONS, featuresCol="_features")
         learner = OneVsRest(classifier=svc, labelCol=label, featuresCol="_features")
     else:
         raise ValueError(f"unknown head {head!r}")
-    return learner.fit(train)
+    return learner.fit(sized(train, n))
 
 
 def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[float], folds: int = 5, seed: int = 100) -> DataFrame:
     """Mean accuracy per cost; folds come from the key hash."""
-    rows = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).persist()
+    marked = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).persist()
     try:
-        n = max(rows.count() * (folds - 1) // folds, 1)
-        learner = LogisticRegression(labelCol=label, featuresCol="_features", maxIter=50)
+        total = marked.count()
+        rows, n = sized(marked, total), max(total * (folds - 1) // folds, 1)
+        learner = LogisticRegression(labelCol=label, featuresCol="_features", maxIter=ITERATIONS)
         grid = ParamGridBuilder().addGrid(learner.regParam, [1.0 / (c * n) for c in costs]).build()
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         fitted = CrossValidator(
             estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=4
         ).fit(rows)
     finally:
-        rows.unpersist()
+        marked.unpersist()
     best = int(np.argmax(fitted.avgMetrics))
     table = [(float(c), float(a), i == best) for i, (c, a) in enumerate(zip(costs, fitted.avgMetrics))]
     return df.sparkSession.createDataFrame(table, "cost double, accuracy double, is_best boolean")

@@ -25,10 +25,14 @@ def regular_series(df: DataFrame, series: str, month: str, value: str, fill: flo
     )
 
 
-def exponential_smoothing(df: DataFrame, series: str, t: str, value: str, alpha: float) -> DataFrame:
-    """One-step-ahead level per point; NULL for the first point of a series."""
+def exponential_smoothing(df: DataFrame, series: str, t: str, value: str, alphas: Sequence[float]) -> DataFrame:
+    """One-step-ahead level per point and smoothing constant; NULL for the first point of a series.
+
+    Each series is packed once and folded for every constant.
+    """
     points = F.transform(F.array_sort(F.collect_list(F.struct(t, value))), lambda p: p[value])
-    start = F.struct(F.get("_x", 0).alias("level"), F.array().cast("array<double>").alias("fitted"))
+    start = F.struct(F.get("_x", 0).alias("level"), F.array(F.lit(None).cast("double")).alias("fitted"))
+    alpha = F.col("alpha")
 
     def step(state, x):
         return F.struct(
@@ -36,20 +40,18 @@ def exponential_smoothing(df: DataFrame, series: str, t: str, value: str, alpha:
             F.array_append(state["fitted"], state["level"]).alias("fitted"),
         )
 
-    fitted = F.aggregate(F.slice("_x", 2, F.size("_x")), start, step)["fitted"]
-    rows = F.arrays_zip(F.col("_x").alias("x"), F.col("_f").alias("f"))
-    return (
-        df.groupBy(series)
-        .agg(points.alias("_x"))
-        .withColumn("_f", F.concat(F.array(F.lit(None).cast("double")), fitted))
-        .select(series, F.posexplode(F.arrays_zip("_x", "_f")).alias("_i", "_p"))
-        .select(series, (F.col("_i") + 1).cast("long").alias(t), F.col("_p._x").alias(value), F.col("_p._f").alias("fitted"))
+    packed = df.groupBy(series).agg(points.alias("_x"))
+    tried = packed.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    folded = tried.withColumn("_f", F.aggregate(F.slice("_x", 2, F.size("_x")), start, step)["fitted"])
+    return folded.select(series, "alpha", F.posexplode(F.arrays_zip("_x", "_f")).alias("_i", "_p")).select(
+        series, "alpha", (F.col("_i") + 1).cast("long").alias(t), F.col("_p._x").alias(value), F.col("_p._f").alias("fitted")
     )
 
 
 def smoothing_error(fitted: DataFrame, series: str, value: str) -> DataFrame:
+    """Sum of squared one-step errors per series and smoothing constant."""
     gap = F.col(value) - F.col("fitted")
-    return fitted.groupBy(series).agg(F.sum(gap * gap).alias("sse"))
+    return fitted.groupBy(series, "alpha").agg(F.sum(gap * gap).alias("sse"))
 
 
 def holdout_last_k(df: DataFrame, series: str, t: str, k: int) -> DataFrame:

@@ -59,14 +59,7 @@ SES_SQL = """
 
 
 def _smoothed(spark, folder):
-    points = lens.series(spark, folder)
-    runs = [
-        ts.exponential_smoothing(points, "series", "t", "value", a).withColumn("alpha", F.lit(a)) for a in ALPHAS
-    ]
-    out = runs[0]
-    for run in runs[1:]:
-        out = out.unionByName(run)
-    return out
+    return ts.exponential_smoothing(lens.series(spark, folder), "series", "t", "value", ALPHAS)
 
 
 @query("exponential_smoothing", SERIES, SES_SQL + "SELECT series, t, alpha, round(fitted, 3) AS fitted FROM run")
@@ -77,9 +70,8 @@ def _(spark, folder):
 @query("smoothing_error", SERIES, SES_SQL + """
     SELECT series, alpha, round(sum((value - fitted) * (value - fitted)) / 1e10, 6) AS sse FROM run GROUP BY series, alpha""")
 def _(spark, folder):
-    fitted = _smoothed(spark, folder).withColumn("key", F.struct("series", "alpha"))
-    errors = ts.smoothing_error(fitted, "key", "value")
-    return tidy(errors.select("key.series", "key.alpha", (F.col("sse") / 1e10).alias("sse")))
+    errors = ts.smoothing_error(_smoothed(spark, folder), "series", "value")
+    return tidy(errors.withColumn("sse", F.col("sse") / 1e10))
 
 
 @query("holdout_last_k", SERIES, """
@@ -88,9 +80,9 @@ def _(spark, folder):
     return tidy(ts.holdout_last_k(lens.series(spark, folder), "series", "t", HOLDOUT).drop("month"), 4)
 
 
-@query("trend_season_forecast", SERIES, FIT_SQL + "SELECT series, month, t, round(forecast, 3) AS forecast FROM fitted")
+@query("trend_season_forecast", SERIES, FIT_SQL + "SELECT series, month, t, round(forecast, 2) AS forecast FROM fitted")
 def _(spark, folder):
-    return tidy(_parts(spark, folder).select("series", "month", "t", "forecast"), 3)
+    return tidy(_parts(spark, folder).select("series", "month", "t", "forecast"), 2)
 
 
 @query("trend_season_ahead", SERIES, FIT_SQL.replace("t <= n - 6", "t <= n") + """
