@@ -11,7 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.operators.linear import complete_rows, eliminate, linear_score, stepwise_search
+from casewise.operators.linear import aliased, complete_rows, eliminate, linear_score, moments, stepwise_search
 
 
 @dataclass
@@ -82,8 +82,9 @@ def logistic_vif(rows: DataFrame, fit: LogisticFit) -> dict[str, float]:
 
 
 def stepwise_aic_logistic(rows: DataFrame, label: str, predictors: Sequence[str]):
-    """Both-direction AIC search; the complete rows are cached for the refits."""
+    """Both-direction AIC search without aliased predictors; the complete rows are cached for the refits."""
     data = complete_rows(rows, [label, *predictors]).persist()
+    usable = _independent(data, predictors)
     known: dict[tuple, float] = {}
 
     def aic_of(terms):
@@ -93,7 +94,7 @@ def stepwise_aic_logistic(rows: DataFrame, label: str, predictors: Sequence[str]
         return known[key]
 
     try:
-        return stepwise_search(predictors, aic_of)
+        return stepwise_search(usable, aic_of)
     finally:
         data.unpersist()
 
@@ -104,7 +105,14 @@ def _null_aic(rows: DataFrame, label: str) -> float:
     return float(-2 * n * (p * np.log(p) + (1 - p) * np.log(1 - p)) + 2)
 
 
+def _independent(rows: DataFrame, predictors: Sequence[str]) -> list[str]:
+    """Predictors that are no linear combination of earlier ones; Spark gives no errors for aliased fits."""
+    dropped = aliased(moments(rows, predictors), predictors)
+    return [p for p in predictors if p not in dropped]
+
+
 def backward_eliminate_logistic(rows: DataFrame, label: str, predictors: Sequence[str], **limits):
+    """Backward elimination by VIF and p-value, without aliased predictors."""
     data = complete_rows(rows, [label, *predictors]).persist()
 
     def examine(terms):
@@ -112,6 +120,6 @@ def backward_eliminate_logistic(rows: DataFrame, label: str, predictors: Sequenc
         return logistic_vif(data, fit), dict(zip(fit.terms[1:], fit.p_value[1:]))
 
     try:
-        return eliminate(predictors, examine, **limits)
+        return eliminate(_independent(data, predictors), examine, **limits)
     finally:
         data.unpersist()

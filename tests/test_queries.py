@@ -25,16 +25,30 @@ def duck(tiny):
 
 
 def plain(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(v)
-    if isinstance(v, datetime.datetime):
-        return v.replace(tzinfo=None).isoformat()
-    return repr(v)
+    return v.replace(tzinfo=None).isoformat() if isinstance(v, datetime.datetime) else repr(v)
 
 
 def table(columns, rows):
+    """Rows as (exact values, floats), columns by name, sorted by the exact values first."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(plain(r[i]) for i in order) for r in rows)
+    split = []
+    for r in rows:
+        values = [r[i] for i in order]
+        exact = [plain(v) for v in values if not isinstance(v, float)]
+        split.append((exact, [v for v in values if isinstance(v, float)]))
+    return sorted(split)
+
+
+def same(got, want):
+    """Floats may differ in the last rounded place: sums are taken in another order."""
+    if len(got) != len(want):
+        return False
+    for (a, x), (b, y) in zip(got, want):
+        if a != b or len(x) != len(y):
+            return False
+        if not all(p == q or math.isclose(p, q, rel_tol=1e-6, abs_tol=2e-6) for p, q in zip(x, y)):
+            return False
+    return True
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -43,7 +57,7 @@ def test_matches_sql(spark, tiny, duck, key):
     want = duck.execute(ORACLES[key])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert table(got.columns, got.collect()) == table(names, want.fetchall())
+    assert same(table(got.columns, got.collect()), table(names, want.fetchall()))
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES) - SLOW))
@@ -56,4 +70,5 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry(spark):
+    assert entry.entry(spark).columns == ["country_code", "total_activity"]
     assert entry.entry(spark).count() == 1
