@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from casewise.functions import parse
 from casewise.operators import clean
-from casewise.operators.order import join_same
+from casewise.operators.order import join_same, quantiles
 
 
 def count_distinct_exact(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
@@ -78,8 +79,6 @@ def rank_segments(summary: DataFrame, key: str, profit: str = "profit", cv: str
 
 
 def mean_median(df: DataFrame, column: str) -> DataFrame:
-    from casewise.operators.order import quantiles
-
     return join_same(df.agg(F.avg(column).alias("mean")), quantiles(df, column, {"median": 0.5}).select("median"), [])
 
 
@@ -139,23 +138,20 @@ def fulfilment_rate(df: DataFrame, flag: str, minutes: Column, by: Sequence[str]
     )
 
 
-def category_ratio(df: DataFrame, category: str, metric: Column) -> DataFrame:
-    """Ratio of a metric between every two categories.
+def category_ratio(df: DataFrame, category: str, names: Sequence[str], metric: Column) -> DataFrame:
+    """Ratio of a metric between every two of the listed data sets.
 
-    The pairs are formed on the aggregated result, one row per category.
+    The data sets are reduced to one row each, laid side by side in one row, and paired there.
     """
-    one = df.groupBy(category).agg(metric.alias("metric"))
-    packed = one.agg(F.sort_array(F.collect_list(F.struct(F.col(category).alias("name"), "metric"))).alias("_all"))
-    return (
-        packed.select(F.explode("_all").alias("_a"), "_all")
-        .select("_a", F.explode("_all").alias("_b"))
-        .where(F.col("_a.name") != F.col("_b.name"))
-        .select(
-            F.col("_a.name").alias("category"),
-            F.col("_b.name").alias("other"),
-            F.try_divide(F.col("_a.metric"), F.col("_b.metric")).alias("ratio"),
-        )
-    )
+    if len(names) > 50:
+        raise ValueError("list at most 50 data sets")
+    one = df.where(F.col(category).isin(list(names))).groupBy(category).agg(metric.alias("_m"))
+    wide = one.agg(*[F.max(F.when(F.col(category) == n, F.col("_m"))).alias(f"_m{i}") for i, n in enumerate(names)])
+    pairs = [
+        F.struct(F.lit(a).alias("category"), F.lit(b).alias("other"), F.try_divide(f"_m{i}", f"_m{j}").alias("ratio"))
+        for i, a in enumerate(names) for j, b in enumerate(names) if i != j
+    ]
+    return wide.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
 
 
 def trend_by_period(df: DataFrame, epoch: str, by: Sequence[str] = (), year: int | None = None) -> DataFrame:
@@ -163,7 +159,7 @@ def trend_by_period(df: DataFrame, epoch: str, by: Sequence[str] = (), year: int
     if year is None:
         return df.groupBy(*by, parse.epoch_year(epoch).alias("year")).agg(F.count(F.lit(1)).alias("rows"))
     # A range on the raw seconds reaches the scan; a function of the column would not.
-    start, end = (int(__import__("calendar").timegm((y, 1, 1, 0, 0, 0))) for y in (year, year + 1))
+    start, end = (calendar.timegm((y, 1, 1, 0, 0, 0)) for y in (year, year + 1))
     inside = df.where((F.col(epoch) >= start) & (F.col(epoch) < end))
     return inside.groupBy(*by, parse.epoch_month(epoch).alias("month")).agg(F.count(F.lit(1)).alias("rows"))
 

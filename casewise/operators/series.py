@@ -15,14 +15,21 @@ from pyspark.sql.window import Window as W
 SEASON = 12
 
 
-def regular_series(df: DataFrame, series: str, month: str, value: str, fill: float = 0.0) -> DataFrame:
-    """Gap-free calendar per series with index t = 1..n; missing months get ``fill``."""
-    spans = df.groupBy(series).agg(F.min(month).alias("_from"), F.max(month).alias("_to"))
-    months = F.sequence("_from", "_to", F.make_ym_interval(months=F.lit(1)))
-    calendar = spans.select(series, F.posexplode(months).alias("_i", month))
-    return calendar.join(df, [series, month], "left").select(
-        series, month, (F.col("_i") + 1).cast("long").alias("t"), F.coalesce(F.col(value), F.lit(fill)).alias(value)
+def regular_series(df: DataFrame, series: str, month: str, value: str, fill: float = 0.0, ahead: int = 0) -> DataFrame:
+    """Gap-free calendar per series with index t = 1..n; missing months get ``fill``.
+
+    ``ahead`` adds that many months after the last one, with a NULL value. The input has one row per
+    (series, month), so a series packs into one map no longer than its calendar and needs no join.
+    """
+    step = F.make_ym_interval(months=F.lit(1))
+    packed = df.groupBy(series).agg(
+        F.min(month).alias("_from"), F.max(month).alias("_to"),
+        F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_have"),
     )
+    until = F.add_months("_to", ahead)
+    points = packed.select(series, "_to", "_have", F.posexplode(F.sequence("_from", until, step)).alias("_i", month))
+    known = F.when(F.col(month) <= F.col("_to"), F.coalesce(F.try_element_at("_have", F.col(month)), F.lit(fill)))
+    return points.select(series, month, (F.col("_i") + 1).cast("long").alias("t"), known.alias(value))
 
 
 def exponential_smoothing(df: DataFrame, series: str, t: str, value: str, alphas: Sequence[float]) -> DataFrame:
@@ -60,37 +67,21 @@ def holdout_last_k(df: DataFrame, series: str, t: str, k: int) -> DataFrame:
     return df.withColumn("is_train", F.col(t) <= n - k)
 
 
-def trend_season_fit(train: DataFrame, series: str, month: str, t: str, value: str) -> DataFrame:
-    """Linear trend with one effect per calendar month: (series, season, trend, effect).
+def trend_season_forecast(df: DataFrame, series: str, month: str, t: str, value: str, train: Column) -> DataFrame:
+    """Linear trend plus one effect per calendar month, fitted on the ``train`` rows of each series.
 
-    The trend is the within-month slope; a series without two points in any month has no slope.
+    Adds ``trend``, ``effect`` and ``forecast`` to every row, so fitted values, held-out months and
+    months ahead come from the same pass. The trend is the slope within calendar months; a month not
+    seen in training, or a series without two points in any month, gets NULL.
     """
-    points = train.select(series, F.month(month).alias("season"), F.col(t).alias("_t"), F.col(value).alias("_y"))
-    cells = points.groupBy(series, "season").agg(
-        F.avg("_t").alias("_mt"), F.avg("_y").alias("_my"),
-        (F.covar_pop("_t", "_y") * F.count("_t")).alias("_cross"),
-        (F.var_pop("_t") * F.count("_t")).alias("_square"),
-    )
-    whole = W.partitionBy(series)
-    slope = F.try_divide(F.sum("_cross").over(whole), F.sum("_square").over(whole))
-    return cells.withColumn("trend", slope).select(
-        series, "season", "trend", (F.col("_my") - F.col("trend") * F.col("_mt")).alias("effect")
-    )
-
-
-def trend_season_predict(points: DataFrame, model: DataFrame, series: str, month: str, t: str) -> DataFrame:
-    """Attach ``forecast``; a month not seen in training gives NULL."""
-    keyed = points.withColumn("season", F.month(month))
-    return keyed.join(model, [series, "season"], "left").withColumn(
-        "forecast", F.col("effect") + F.col("trend") * F.col(t)
-    ).drop("season", "trend", "effect")
-
-
-def future_points(df: DataFrame, series: str, month: str, t: str, steps: int) -> DataFrame:
-    """The next ``steps`` calendar points of each series."""
-    last = df.groupBy(series).agg(F.max(month).alias("_m"), F.max(t).alias("_t"))
-    ahead = last.select(series, "_m", "_t", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_h"))
-    return ahead.select(series, F.add_months("_m", F.col("_h")).alias(month), (F.col("_t") + F.col("_h")).alias(t))
+    whole, season = W.partitionBy(series), W.partitionBy(series, F.month(month))
+    x, y = F.when(train, F.col(t)), F.when(train, F.col(value))
+    cells = df.withColumns({"_x": x, "_y": y}).withColumns({"_mx": F.avg("_x").over(season), "_my": F.avg("_y").over(season)})
+    away = F.col("_x") - F.col("_mx")
+    cross, square = F.sum(away * (F.col("_y") - F.col("_my"))).over(whole), F.sum(away * away).over(whole)
+    fitted = cells.withColumn("trend", F.try_divide(cross, square))
+    fitted = fitted.withColumn("effect", F.col("_my") - F.col("trend") * F.col("_mx"))
+    return fitted.withColumn("forecast", F.col("effect") + F.col("trend") * F.col(t)).drop("_x", "_y", "_mx", "_my")
 
 
 def forecast_accuracy(df: DataFrame, actual: str, forecast: str, by: Sequence[str]) -> DataFrame:
@@ -156,25 +147,22 @@ def ljung_box(correlations: DataFrame, series: str) -> DataFrame:
     )
 
 
-def seasonal_ar_fit(df: DataFrame, series: str, t: str, value: str) -> DataFrame:
-    """Regress the seasonal difference on its previous value: (series, c, phi)."""
-    ordered = W.partitionBy(series).orderBy(t)
-    diffs = df.withColumn("_d", F.col(value) - F.lag(value, SEASON).over(ordered))
-    pairs = diffs.withColumn("_p", F.lag("_d").over(ordered)).where(F.col("_d").isNotNull() & F.col("_p").isNotNull())
-    return pairs.groupBy(series).agg(F.regr_intercept("_d", "_p").alias("c"), F.regr_slope("_d", "_p").alias("phi"))
-
-
 def seasonal_ar_forecast(df: DataFrame, series: str, month: str, t: str, value: str, steps: int) -> DataFrame:
-    """Iterate the fitted recursion ``steps`` (at most one season) ahead and undo the difference."""
+    """Regress the seasonal difference on its previous value and iterate ``steps`` months ahead.
+
+    Returns (series, month, t, c, phi, forecast); ``steps`` is at most one season. Series without a
+    full season and a point before it have no forecast.
+    """
     if not 1 <= steps <= SEASON:
         raise ValueError("steps must lie within one season")
-    model = seasonal_ar_fit(df, series, t, value)
-    # The last 13 values per series are enough: one season back plus the last difference.
-    recent = F.row_number().over(W.partitionBy(series).orderBy(F.col(t).desc()))
-    tail = df.withColumn("_r", recent).where(F.col("_r") <= SEASON + 1)
-    packed = tail.groupBy(series).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(t, value))), lambda p: p[value]).alias("_x"),
-        F.max(t).alias("_t"), F.max(month).alias("_m"),
+    ordered = W.partitionBy(series).orderBy(t)
+    diffs = df.withColumn("_d", F.col(value) - F.lag(value, SEASON).over(ordered))
+    pairs = diffs.withColumn("_p", F.lag("_d").over(ordered))
+    values = F.transform(F.array_sort(F.collect_list(F.struct(t, value))), lambda p: p[value])
+    # One season back and the last difference are all the recursion needs.
+    packed = pairs.groupBy(series).agg(
+        F.regr_intercept("_d", "_p").alias("c"), F.regr_slope("_d", "_p").alias("phi"),
+        F.slice(values, -(SEASON + 1), SEASON + 1).alias("_x"), F.max(t).alias("_t"), F.max(month).alias("_m"),
     ).where(F.size("_x") == SEASON + 1)
 
     def step(state, h):
@@ -183,8 +171,7 @@ def seasonal_ar_forecast(df: DataFrame, series: str, month: str, t: str, value:
 
     first = F.struct((F.get("_x", SEASON) - F.get("_x", 0)).alias("d"), F.array().cast("array<double>").alias("out"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)["out"]
-    return (
-        packed.join(model, series)
-        .select(series, "_t", "_m", F.posexplode(path).alias("_h", "forecast"))
-        .select(series, F.add_months("_m", F.col("_h") + 1).alias(month), (F.col("_t") + F.col("_h") + 1).alias(t), "forecast")
+    ahead = packed.select(series, "_t", "_m", "c", "phi", F.posexplode(path).alias("_h", "forecast"))
+    return ahead.where(F.col("forecast").isNotNull()).select(
+        series, F.add_months("_m", F.col("_h") + 1).alias(month), (F.col("_t") + F.col("_h") + 1).alias(t), "c", "phi", "forecast"
     )

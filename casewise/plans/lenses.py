@@ -201,8 +201,8 @@ def monthly(spark, folder, measure="sales"):
     )
 
 
-def series(spark, folder, measure="sales"):
-    return ts.regular_series(monthly(spark, folder, measure), "series", "month", "value")
+def series(spark, folder, measure="sales", ahead=0):
+    return ts.regular_series(monthly(spark, folder, measure), "series", "month", "value", ahead=ahead)
 
 
 def trip(spark, folder):

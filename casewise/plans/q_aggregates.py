@@ -196,7 +196,7 @@ def _(spark, folder):
     SELECT a.category, b.category AS other, round(a.metric / b.metric, 6) AS ratio FROM one a JOIN one b ON a.category <> b.category""")
 def _(spark, folder):
     pairs = lens.review(spark, folder).select("category", "reviewer").distinct()
-    return tidy(agg.category_ratio(pairs, "category", F.count("reviewer")))
+    return tidy(agg.category_ratio(pairs, "category", ["F", "O", "P"], F.count("reviewer")))
 
 
 @query("trend_by_period", "review", """

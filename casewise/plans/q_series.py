@@ -32,11 +32,13 @@ FIT_SQL = """
 """
 
 
+def _fitted(marked):
+    return ts.trend_season_forecast(marked, "series", "month", "t", "value", F.col("is_train"))
+
+
 def _parts(spark, folder):
     """All points with the forecast of the model fitted on all but the last six."""
-    marked = ts.holdout_last_k(lens.series(spark, folder), "series", "t", HOLDOUT)
-    model = ts.trend_season_fit(marked.where("is_train"), "series", "month", "t", "value")
-    return ts.trend_season_predict(marked, model, "series", "month", "t")
+    return _fitted(ts.holdout_last_k(lens.series(spark, folder), "series", "t", HOLDOUT))
 
 
 def _residual_acf(spark, folder):
@@ -90,10 +92,10 @@ def _(spark, folder):
     FROM (SELECT series, max(month) AS m, max(t) AS last FROM series GROUP BY series) JOIN model USING (series),
          (SELECT unnest(range(1, 7)) AS h) WHERE model.season = month(m + to_months(CAST(h AS INTEGER)))""")
 def _(spark, folder):
-    points = lens.series(spark, folder)
-    model = ts.trend_season_fit(points, "series", "month", "t", "value")
-    ahead = ts.future_points(points, "series", "month", "t", HOLDOUT)
-    return tidy(ts.trend_season_predict(ahead, model, "series", "month", "t"), 3)
+    points = lens.series(spark, folder, ahead=HOLDOUT)
+    known = F.col("value").isNotNull()
+    ahead = ts.trend_season_forecast(points, "series", "month", "t", "value", known).where(~known)
+    return tidy(ahead.select("series", "month", "t", "forecast"), 3)
 
 
 ACCURACY_SQL = """
@@ -126,7 +128,7 @@ def _(spark, folder):
             SELECT series, k + 1, r, list_append(list_transform(phi, lambda x, i: x - nxt * phi[k + 1 - i]), nxt), nxt
             FROM (SELECT *, (r[k + 1] - list_sum(list_transform(phi, lambda x, i: x * r[k + 1 - i])))
                             / (1 - list_sum(list_transform(phi, lambda x, i: x * r[i]))) AS nxt FROM run WHERE k < 12))
-    SELECT series, k AS lag, round(last, 6) AS pacf FROM run""")
+    SELECT series, k::BIGINT AS lag, round(last, 6) AS pacf FROM run""")
 def _(spark, folder):
     return tidy(ts.pacf(_residual_acf(spark, folder), "series"))
 
@@ -152,7 +154,8 @@ AR_SQL = """
 
 @query("seasonal_ar_forecast", SERIES, AR_SQL.format(train="series") + "SELECT series, month, t, round(forecast, 3) AS forecast FROM ahead")
 def _(spark, folder):
-    return tidy(ts.seasonal_ar_forecast(lens.series(spark, folder), "series", "month", "t", "value", HOLDOUT), 3)
+    ahead = ts.seasonal_ar_forecast(lens.series(spark, folder), "series", "month", "t", "value", HOLDOUT)
+    return tidy(ahead.drop("c", "phi"), 3)
 
 
 @query("seasonal_ar_accuracy", SERIES, AR_SQL.format(train="train").replace(
@@ -176,6 +179,5 @@ def _(spark, folder):
     smooth = rank.moving_average(lens.series(spark, folder), "series", "t", "value", 4)
     smooth = rank.edge_extrapolation(smooth, "series", "t", "smoothed", 4)
     points = smooth.select("series", "month", "t", F.col("smoothed").alias("value"))
-    marked = ts.holdout_last_k(points, "series", "t", HOLDOUT)
-    model = ts.trend_season_fit(marked.where("is_train"), "series", "month", "t", "value")
-    return _accuracy(ts.trend_season_predict(marked.where(~F.col("is_train")), model, "series", "month", "t"))
+    marked = _fitted(ts.holdout_last_k(points, "series", "t", HOLDOUT))
+    return _accuracy(marked.where(~F.col("is_train")))

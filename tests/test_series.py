@@ -33,18 +33,26 @@ def test_exponential_smoothing(spark):
 def test_trend_season_recovers_an_exact_model(spark):
     effects = np.arange(12) * 3.0
     values = [100 + 2.5 * (i + 1) + effects[i % 12] for i in range(48)]
-    marked = ts.holdout_last_k(make(spark, values), "series", "t", 6)
-    model = ts.trend_season_fit(marked.where("is_train"), "series", "month", "t", "value")
-    out = ts.trend_season_predict(marked, model, "series", "month", "t")
+    points = make(spark, values)
+    marked = ts.holdout_last_k(points, "series", "t", 6)
+    out = ts.trend_season_forecast(marked, "series", "month", "t", "value", F.col("is_train"))
     assert out.select(F.max(F.abs(F.col("value") - F.col("forecast")))).first()[0] < 1e-9
-    ahead = ts.trend_season_predict(ts.future_points(marked, "series", "month", "t", 6), model, "series", "month", "t").orderBy("t").collect()
+    known = F.col("value").isNotNull()
+    longer = ts.regular_series(points, "series", "month", "value", ahead=6)
+    ahead = ts.trend_season_forecast(longer, "series", "month", "t", "value", known).where(~known).orderBy("t").collect()
     assert [r["t"] for r in ahead] == list(range(49, 55)) and abs(ahead[0]["forecast"] - (100 + 2.5 * 49)) < 1e-9
 
 
+def test_residuals_sum_to_zero_per_month(spark):
+    df = make(spark, np.random.default_rng(2).normal(size=50))
+    out = ts.trend_season_forecast(df, "series", "month", "t", "value", F.lit(True))
+    sums = out.groupBy(F.month("month")).agg(F.sum(F.col("value") - F.col("forecast")).alias("s")).collect()
+    assert max(abs(r["s"]) for r in sums) < 1e-9
+
+
 def test_short_series_has_no_slope(spark):
-    df = make(spark, range(10))
-    model = ts.trend_season_fit(df, "series", "month", "t", "value")
-    assert model.where("trend IS NOT NULL").count() == 0
+    out = ts.trend_season_forecast(make(spark, range(10)), "series", "month", "t", "value", F.lit(True))
+    assert out.where("forecast IS NOT NULL").count() == 0
 
 
 def test_accuracy_skips_zero_actuals(spark):
@@ -73,7 +81,7 @@ def test_seasonal_ar_follows_its_recursion(spark):
         x.append(x[i] + d)
         d = 1.0 + 0.5 * d
     df = make(spark, x)
-    model = ts.seasonal_ar_fit(df, "series", "t", "value").first()
+    model = ts.seasonal_ar_forecast(df, "series", "month", "t", "value", 1).first()
     assert abs(model["c"] - 1.0) < 1e-6 and abs(model["phi"] - 0.5) < 1e-6
     got = [r["forecast"] for r in ts.seasonal_ar_forecast(df, "series", "month", "t", "value", 3).orderBy("t").collect()]
     want = []
