@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from casewise.functions import parse
 from casewise.operators import aggregate as agg
 from casewise.operators import rank
-from casewise.operators import series as ts
 from casewise.plans import lenses as lens
 from casewise.plans.registry import query
 from casewise.plans.shape import tidy

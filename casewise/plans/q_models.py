@@ -83,11 +83,14 @@ def _(spark, folder):
     return tidy(linear.vif_table(spark, linear.vif(m, ["size", "power"])), 4)
 
 
-@query("vif_many")
+@query("vif_many", "car", """
+    WITH r AS (SELECT corr(size, power) AS sp, corr(size, wheel) AS sw, corr(power, wheel) AS pw FROM car),
+    d AS (SELECT *, 1 + 2 * sp * sw * pw - sp * sp - sw * sw - pw * pw AS det FROM r)
+    SELECT unnest(['size', 'power', 'wheel']) AS term, round(unnest([(1 - pw * pw) / det, (1 - sw * sw) / det, (1 - sp * sp) / det]), 4) AS vif FROM d""")
 def _(spark, folder):
-    names = ["size", "wheel", "width", "power"]
+    names = ["size", "power", "wheel"]
     m = linear.moments(lens.car(spark, folder), names)
-    return tidy(linear.vif_table(spark, linear.vif(m, names)))
+    return tidy(linear.vif_table(spark, linear.vif(m, names)), 4)
 
 
 def _step_rows(spark, trail):
@@ -124,15 +127,20 @@ def _(spark, folder):
 # ---------------------------------------------------------------- logistic models
 
 
-@query("logistic_fit", "risk", """
-    WITH RECURSIVE it AS (
+# Newton's method for one predictor ``x`` and outcome ``label`` of a table ``rows``.
+NEWTON_SQL = """
+    it AS (
         SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS ll
         UNION ALL
         SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01),
                sqrt(h11 / (h00 * h11 - h01 * h01)), sqrt(h00 / (h00 * h11 - h01 * h01)), l
-        FROM (SELECT i, b0, b1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * price) AS h01, sum(p * (1 - p) * price * price) AS h11,
-                     sum(label - p) AS g0, sum((label - p) * price) AS g1, sum(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS l
-              FROM (SELECT i, b0, b1, price, label, 1 / (1 + exp(-(b0 + b1 * price))) AS p FROM it, risk WHERE i < 15) GROUP BY i, b0, b1))
+        FROM (SELECT i, b0, b1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11,
+                     sum(label - p) AS g0, sum((label - p) * x) AS g1, sum(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS l
+              FROM (SELECT i, b0, b1, x, label, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it, rows WHERE i < 15) GROUP BY i, b0, b1))
+"""
+
+
+@query("logistic_fit", "risk", "WITH RECURSIVE rows AS (SELECT label, price AS x FROM risk), " + NEWTON_SQL + """
     SELECT unnest(['(Intercept)', 'price']) AS term, round(unnest([b0, b1]), 5) AS estimate, round(unnest([e0, e1]), 5) AS std_error,
            round(-2 * ll + 4, 3) AS aic FROM it WHERE i = 15""")
 def _(spark, folder):
@@ -167,12 +175,15 @@ def _(spark, folder):
     return tidy(_drop_rows(spark, trail), 4)
 
 
-@query("score_probability")
+@query("score_probability", "risk", f"""
+    WITH RECURSIVE parted AS (SELECT *, {HASH_SQL.format(key='key', digits=8)} < {int(0.7 * 2**32)} AS is_train FROM risk),
+    rows AS (SELECT label, span AS x FROM parted WHERE is_train AND span IS NOT NULL), """ + NEWTON_SQL + """
+    SELECT key, label::BIGINT AS label, round(1 / (1 + exp(-(b0 + b1 * span))), 5) AS probability FROM parted, it WHERE i = 15 AND NOT is_train""")
 def _(spark, folder):
     rows = ev.split_random(lens.risk(spark, folder), "key", 0.7, SEED)
-    fit = logistic.fit_logistic(rows.where("is_train"), "label", ["price", "income", "span"])
+    fit = logistic.fit_logistic(rows.where("is_train"), "label", ["span"])
     held = rows.where("NOT is_train")
-    return tidy(held.select("key", "label", logistic.probability(fit.terms, fit.estimate).alias("probability")))
+    return tidy(held.select("key", "label", logistic.probability(fit.terms, fit.estimate).alias("probability")), 5)
 
 
 @query("score_given_coefficients", "risk", """
