@@ -198,12 +198,14 @@ def eliminate(predictors: Sequence[str], examine, max_vif: float = 5.0, max_p: f
     """Backward elimination: rows (step, dropped term, reason, vif, p).
 
     Each step drops the largest VIF above ``max_vif`` if that term is also insignificant, else the
-    largest p above ``max_p``. ``examine`` returns ({term: vif}, {term: p}).
+    largest p above ``max_p``. Two terms alone share their VIF; the less significant one counts as
+    larger. ``examine`` returns ({term: vif}, {term: p}).
     """
     current, trail = list(predictors), []
     while current:
         factors, p = examine(current)
-        widest = max(current, key=lambda c: factors[c])
+        top = max(factors[c] for c in current) * (1 - 1e-9)
+        widest = max((c for c in current if factors[c] >= top), key=lambda c: p[c])
         weakest = max(current, key=lambda c: p[c])
         if factors[widest] > max_vif and p[widest] > max_p:
             out, reason = widest, "vif"

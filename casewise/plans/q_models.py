@@ -101,13 +101,59 @@ def _drop_rows(spark, trail):
     return spark.createDataFrame(trail, "step int, term string, reason string, vif double, p_value double")
 
 
-@query("stepwise_aic")
+# All subsets of three predictors a, b, c (bits 1, 2, 4) with their residual sum, AIC and determinants:
+# R2 of a subset is one less the ratio of the correlation determinants with and without the response.
+SUBSET_SQL = """
+    bits AS (SELECT unnest([1, 2, 4]) AS bit, unnest(['size', 'width', 'power']) AS term),
+    r AS (SELECT count(*) AS n, var_pop(price) * count(*) AS syy, corr(size, width) AS ab, corr(size, power) AS ac, corr(width, power) AS bc,
+                 corr(size, price) AS ay, corr(width, price) AS yb, corr(power, price) AS cy FROM car),
+    e AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS d3 FROM r),
+    dets AS (SELECT n, syy, unnest([0, 1, 2, 4, 3, 5, 6, 7]) AS s,
+        unnest([1, 1, 1, 1, 1 - ab * ab, 1 - ac * ac, 1 - bc * bc, d3]) AS d,
+        unnest([1, 1 - ay * ay, 1 - yb * yb, 1 - cy * cy, 1 + 2 * ab * ay * yb - ab * ab - ay * ay - yb * yb,
+                1 + 2 * ac * ay * cy - ac * ac - ay * ay - cy * cy, 1 + 2 * bc * yb * cy - bc * bc - yb * yb - cy * cy,
+                d3 - ((1 - bc * bc) * ay * ay + (1 - ac * ac) * yb * yb + (1 - ab * ab) * cy * cy + 2 * (ac * bc - ab) * ay * yb
+                      + 2 * (ab * bc - ac) * ay * cy + 2 * (ab * ac - bc) * yb * cy)]) AS dy FROM e),
+    sub AS (SELECT s, n, d, bit_count(s) AS k, syy * dy / d AS rss, n * ln(syy * dy / d / n) + 2 * (bit_count(s) + 1) AS aic FROM dets)
+"""
+THREE = ["size", "width", "power"]
+
+
+@query("stepwise_aic", "car", "WITH RECURSIVE " + SUBSET_SQL.rstrip() + """,
+    walk AS (SELECT 0 AS step, 'start' AS action, NULL::VARCHAR AS term, s, aic FROM sub WHERE s = 7
+             UNION ALL
+             SELECT w.step + 1, CASE WHEN w.s & b.bit > 0 THEN 'drop' ELSE 'add' END, b.term, m.s, m.aic
+             FROM walk w, bits b, sub m WHERE m.s = xor(w.s, b.bit) AND m.aic < w.aic - 1e-9
+             QUALIFY row_number() OVER (ORDER BY m.aic) = 1)
+    SELECT step::BIGINT AS step, action, term, round(aic, 4) AS aic FROM walk""")
+def _(spark, folder):
+    m = linear.moments(lens.car(spark, folder), [*THREE, "price"])
+    return tidy(_step_rows(spark, linear.stepwise_aic(m, "price", THREE)), 4)
+
+
+# 3.8461 is the square of the two-sided five-percent point of t at about 2,000 degrees of freedom.
+@query("backward_eliminate", "car", "WITH RECURSIVE " + SUBSET_SQL.rstrip() + """,
+    walk AS (SELECT 0 AS step, NULL::VARCHAR AS term, NULL::VARCHAR AS reason, NULL::DOUBLE AS vif, 7 AS s
+             UNION ALL
+             SELECT step + 1, term, CASE WHEN wide THEN 'vif' ELSE 'p' END, vif, s FROM (
+                 SELECT step, term, vif, s, t2, vif > max(vif) OVER () * (1 - 1e-9) AND vif > 5 AND t2 < 3.8461 AS wide FROM (
+                     SELECT w.step, b.term, less.s, less.d / whole.d AS vif, (less.rss - whole.rss) / (whole.rss / (whole.n - whole.k - 1)) AS t2
+                     FROM walk w, bits b, sub whole, sub less
+                     WHERE whole.s = w.s AND w.s & b.bit > 0 AND less.s = xor(w.s, b.bit)))
+             WHERE t2 < 3.8461 QUALIFY row_number() OVER (ORDER BY wide DESC, t2) = 1)
+    SELECT step::BIGINT AS step, term, reason, round(vif, 3) AS vif FROM walk WHERE step > 0""")
+def _(spark, folder):
+    m = linear.moments(lens.car(spark, folder), [*THREE, "price"])
+    return tidy(_drop_rows(spark, linear.backward_eliminate(m, "price", THREE)).drop("p_value"), 3)
+
+
+@query("stepwise_aic_aliased")
 def _(spark, folder):
     m = linear.moments(lens.car(spark, folder), [*CAR_PREDICTORS, "price"])
     return tidy(_step_rows(spark, linear.stepwise_aic(m, "price", CAR_PREDICTORS)), 4)
 
 
-@query("backward_eliminate")
+@query("backward_eliminate_aliased")
 def _(spark, folder):
     m = linear.moments(lens.car(spark, folder), [*CAR_PREDICTORS, "price"])
     return tidy(_drop_rows(spark, linear.backward_eliminate(m, "price", CAR_PREDICTORS)), 4)

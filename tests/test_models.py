@@ -68,6 +68,20 @@ def test_alias_vif_and_selection(spark):
     assert [r[1] for r in linear.backward_eliminate(m, "y", ["a", "b", "c", "d"])] in ([], ["c"])
 
 
+def test_stepwise_ends_where_no_single_move_helps(spark):
+    df, _, _ = data(spark, 120)
+    names = ["a", "b", "c"]
+    m = linear.moments(df, [*names, "y"])
+    trail = linear.stepwise_aic(m, "y", names)
+    kept = set(names)
+    for _, action, term, _ in trail[1:]:
+        kept ^= {term}
+    final = trail[-1][3]
+    for term in names:
+        other = [n for n in names if n in kept ^ {term}]
+        assert linear.fit_ols(m, "y", other).aic >= final - 1e-9
+
+
 def logit_data(spark, n=1500):
     rng = np.random.default_rng(9)
     a, b = rng.normal(size=n), rng.normal(size=n)
