@@ -53,17 +53,14 @@ def write_orc(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.orc(path)
 
 
-def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], salt: int | None = None) -> str:
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> str:
     """Replace only the partitions present in ``df``.
 
-    Rows are spread over ``salt`` writers per key value, so one large value is not one task and
-    the number of files stays at most ``salt`` per value.
+    The rebalance hint lets adaptive execution write few files for small key values and split a
+    large one over several writers.
     """
-    if salt is None:
-        salt = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salt))
     (
-        df.repartition(*[F.col(k) for k in keys], spread)
+        df.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)

@@ -1,4 +1,5 @@
 import datetime
+import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,25 @@ def test_partition_filter_reaches_the_scan(spark):
     assert "PartitionFilters: [isnotnull(k" in plan
 
 
+def test_hot_partition_is_written_by_several_tasks(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    df = spark.range(400_000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 20).alias("k")).repartition(16)
+    spark.conf.set(name, "128k")
+    try:
+        path = io.write_partitioned(df, work_path(spark, "t"), ["k"])
+    finally:
+        spark.conf.unset(name)
+    assert len(glob.glob(f"{path}/k=0/*.parquet")) > 1
+    assert spark.read.parquet(path).count() == 400_000
+
+
+def test_dynamic_overwrite_keeps_other_partitions(spark):
+    df = spark.range(100).select("id", (F.col("id") % 5).alias("k"))
+    path = io.write_partitioned(df, work_path(spark, "t"), ["k"])
+    io.write_partitioned(df.where("k = 2").limit(3), path, ["k"])
+    assert spark.read.parquet(path).count() == 83
+
+
 @pytest.mark.parametrize("parts", [1, 64])
 def test_results_do_not_depend_on_partitions(spark, parts):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), (F.col("id") * 0.25).alias("v")).repartition(parts)
