@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, exact_dedup, packing
+from casewise.llm import bpe, chat, exact_dedup, packing, pii
 from casewise.llm.common import documents
 from casewise.session import configure
 
@@ -53,3 +53,44 @@ def op5(spark, folder):
 @query("op7_packing")
 def op7(spark, folder):
     return packing.pack(documents(spark, folder), tokenizer())
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(14 + length(role) + length(text) + length(role || text) - length(translate(role || text, '\<#', ''))
+             + length(role) - length(replace(role, ':', ''))) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+# The conversation that the query adds.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@query("op4_chat_format", CHAT_SQL)
+def op4(spark, folder):
+    given = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.range(2, numPartitions=1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    turns = given.unionByName(added).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    out = chat.format_chat(turns).select(
+        "conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op8_private_data")
+def op8(spark, folder):
+    return pii.private_spans(documents(spark, folder))
