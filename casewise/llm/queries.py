@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, chat, exact_dedup, packing, pii
-from casewise.llm.common import documents
+from casewise.llm import bpe, chat, exact_dedup, langid, packing, pii, quality
+from casewise.llm.common import documents, held_out
 from casewise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,16 @@ def op4(spark, folder):
 @query("op8_private_data")
 def op8(spark, folder):
     return pii.private_spans(documents(spark, folder))
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    return langid.identify(documents(spark, folder))
+
+
+@query("op10_quality_rules")
+def op10(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored, score = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"),
+                         (F.col(score) >= quality.CUTOFF).cast("int").alias("predicted"))
