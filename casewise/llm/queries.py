@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, chat, exact_dedup, langid, packing, pii, quality
+from casewise.llm import bpe, chat, exact_dedup, langid, packing, pii, quality, vafile
 from casewise.llm.common import documents, held_out
 from casewise.session import configure
 
@@ -107,3 +107,22 @@ def op10(spark, folder):
     scored, score = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"),
                          (F.col(score) >= quality.CUTOFF).cast("int").alias("predicted"))
+
+
+TOP_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e AS q JOIN e AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op6_exact_top_k", TOP_SQL)
+def op6(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return vafile.top_k(vectors, F.col("vec_id") % 20 == 0)
