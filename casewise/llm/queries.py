@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, chat, exact_dedup, langid, packing, pii, quality, vafile
+from casewise.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, pii, quality, vafile
 from casewise.llm.common import documents, held_out
 from casewise.session import configure
 
@@ -126,3 +126,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op6(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return vafile.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op1_ngram_join")
+def op1(spark, folder):
+    return ngram_join.link_documents(documents(spark, folder))
