@@ -17,27 +17,36 @@ def cells_of(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (keys >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
-def _lists(column: str, bits: int):
+LISTS = "slice int, cells binary, again binary"
+
+
+def pack_cells(keys: list[np.ndarray], bits: int = BITS) -> pa.RecordBatch:
+    """Touched cells, slice by slice, and which of them were touched again."""
     width = bits // SLICES
+    cells, counts = np.unique(np.concatenate([cells_of(k, bits) for k in keys]), return_counts=True)
+    cuts = np.searchsorted(cells, np.arange(SLICES + 1) * width)
+    rows = [(s, (cells[a:b] - s * width).astype("<u4").tobytes(), np.packbits(counts[a:b] > 1).tobytes())
+            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["slice", "cells", "again"])
+
+
+def pack_all(parts, bits: int = BITS):
+    """``pack_cells`` over a stream of key arrays, about ``FLUSH`` keys at a time."""
+    held, size = [], 0
+    for keys in parts:
+        if len(keys):
+            held.append(keys)
+            size += len(keys)
+        if size >= FLUSH:
+            yield pack_cells(held, bits)
+            held, size = [], 0
+    if held:
+        yield pack_cells(held, bits)
 
-    def packed(parts):
-        cells, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cuts = np.searchsorted(cells, np.arange(SLICES + 1) * width)
-        rows = [(s, (cells[a:b] - s * width).astype("<u4").tobytes(), np.packbits(counts[a:b] > 1).tobytes())
-                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["slice", "cells", "again"])
 
+def _lists(column: str, bits: int):
     def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for blob in batch.column(column).to_pylist():
-                parts.append(cells_of(np.frombuffer(blob, "<u8"), bits))
-                held += len(parts[-1])
-                if held >= FLUSH:
-                    yield packed(parts)
-                    parts, held = [], 0
-        if held:
-            yield packed(parts)
+        yield from pack_all((np.frombuffer(blob, "<u8") for batch in batches for blob in batch.column(column).to_pylist()), bits)
 
     return run
 
@@ -64,12 +73,16 @@ def _fold(bits: int, least: int):
 
 def key_filter(table: DataFrame, column: str, least: int, bits: int = BITS):
     """The bitmap as a broadcast of ``bits / 8`` bytes."""
-    lists = table.select(column).mapInArrow(_lists(column, bits), "slice int, cells binary, again binary")
+    return fold_filter(table.select(column).mapInArrow(_lists(column, bits), LISTS), least, bits)
+
+
+def fold_filter(lists: DataFrame, least: int, bits: int = BITS):
+    """The same from lists of cells that tasks have made with ``pack_cells``."""
     maps = lists.repartition(SLICES, "slice").mapInArrow(_fold(bits, least), "slice int, bitmap binary")
     out, size = np.zeros(bits // 8, np.uint8), bits // 8 // SLICES
     for row in maps.collect():  # SLICES rows of a fixed size
         out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["bitmap"], np.uint8)
-    return table.sparkSession.sparkContext.broadcast(out.tobytes())
+    return lists.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def passes(bitmap: bytes, keys: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, pii, quality, vafile
+from casewise.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, passages, pii, quality, vafile
 from casewise.llm.common import documents, held_out
 from casewise.session import configure
 
@@ -131,3 +131,8 @@ def op6(spark, folder):
 @query("op1_ngram_join")
 def op1(spark, folder):
     return ngram_join.link_documents(documents(spark, folder))
+
+
+@query("op9_repeated_passages")
+def op9(spark, folder):
+    return passages.repeated_passages(documents(spark, folder))
