@@ -28,14 +28,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from casewise.llm.common import fresh
 
 TOKENIZER = "word_bpe_49k.json"
-WORDS_HELD = 500_000
+WORDS_HELD = 1_000_000
 PAIRS_HELD = 500_000
 # White space as the tokenizer files' patterns understand it; str.split() also takes the four separators \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SHORT = 64  # words of at most so many bytes are encoded many at a time
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 BATCH_CHARS = 4_000_000
+BREAK = b"\xff\xff"  # stands between chunks; no id
 END = 256  # symbol of a byte that ends its word: the byte plus END
 
 
@@ -156,8 +157,8 @@ class _Table:
 
     def __init__(self, keys, values, absent: int):
         keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int64)
-        self.bits, self.absent = max(4, int(np.ceil(np.log2(4 * len(keys) + 4)))), absent
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, absent, np.int64)
+        self.bits, self.absent = max(4, int(np.ceil(np.log2(2 * len(keys) + 4)))), absent
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, absent, np.int32)
         slots, left = self._slot(keys), np.arange(len(keys))
         while left.size:
             free = left[self.keys[slots[left]] == -1]
@@ -267,6 +268,9 @@ class Codec:
         self.strings, self.special = tables["strings"], tables["special"]
         self.pairs, self.halves, self.rank = tables["pairs"], tables["halves"], tables["rank"]
         self.word = regex.compile(tables["pattern"])
+        self.words_or_breaks = regex.compile(tables["pattern"] + r"|\n")
+        if len(self.strings) >= 0xFFFF:
+            raise ValueError("ids must be smaller than the break between chunks")
         self.stop = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.following = _Remembered(lambda pair: self.apart(*pair), PAIRS_HELD)
         spelled = tables["spelled"]
@@ -274,7 +278,7 @@ class Codec:
         usable = {t: s for t, s in spelled.items() if t not in self.halves or self.whole(t)}
         self.automaton = SuffixAutomaton(usable)
         self.words = _Remembered(self._encode_word, WORDS_HELD)
-        self.chunks = _Remembered(self._encode_chunk, WORDS_HELD)
+        self.chunks: dict[str, bytes] = {}
         self.numbers = list(map(str, range(len(self.strings))))
         self.block = BlockCoder(self)
 
@@ -345,30 +349,23 @@ class Codec:
             i = back[i]
         return np.array(ids[::-1], "<u2").tobytes()
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        """A run of normalised text without white space."""
-        return b"".join(map(self.words.__getitem__, self.word.findall(chunk)))
-
-    def _pieces(self, chunk: str) -> list[str]:
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[-1] in ".," and chunk[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.word.findall(chunk)
-
     def learn(self, new: set[str]) -> None:
         """Encodes new chunks together and remembers them; both tables are emptied before they outgrow their bounds."""
-        pieces = {chunk: self._pieces(chunk) for chunk in new}
+        if not new:
+            return
         if len(self.chunks) + len(new) > WORDS_HELD:
             self.chunks.clear()
             self.words.clear()
-        words = [w for w in set().union(*pieces.values()).difference(self.words) if len(w) <= SHORT // 4]
+        order = list(new)
+        flat = self.words_or_breaks.findall("\n".join([*order, ""]))
+        words = [w for w in set(flat).difference(self.words) if len(w) <= SHORT // 4 and w != "\n"]
         for i in range(0, len(words), BLOCK):
             block = words[i : i + BLOCK]
             self.words.update(zip(block, self.block.encode(block)))
-        get = self.words.__getitem__
-        for chunk, found in pieces.items():
-            self.chunks[chunk] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        self.words["\n"] = BREAK
+        blob = b"".join(map(self.words.__getitem__, flat))
+        stops = (2 * np.flatnonzero(np.frombuffer(blob, "<u2") == 0xFFFF)).tolist()
+        self.chunks.update(zip(order, [blob[a:b] for a, b in zip([0, *(x + 2 for x in stops)], stops)]))
 
     def chunked(self, text: str) -> list[str]:
         """Normalised text without special tokens, cut at white space."""
