@@ -27,6 +27,7 @@ FILTER_BITS = 1 << 27
 WAYS = 4
 SLICES = 64
 FLUSH_CELLS = 1 << 20
+LARGE_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -127,7 +128,10 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", f
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     some = marked.filter("maybe").select("id", "digest", "row")
     groups = some.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = some.join(groups, "digest").select(
+    # Groups of a thousandth of all rows or more: at most a thousand, so they may be broadcast; their rows don't meet in one task.
+    large = F.broadcast(groups.filter(F.col("group_size") * LARGE_SHARE >= rows.count()))
+    joined = some.join(large, "digest").unionByName(some.join(large, "digest", "left_anti").join(groups, "digest"))
+    grouped = joined.select(
         "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
     return alone.unionByName(grouped).select(
         F.col("id").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.llm.bounded_filter import key_filter, passes
-from casewise.llm.common import cut
+from casewise.llm.common import cut, fresh
 from casewise.llm.components import roots
 from casewise.llm.shingles import mix, shingle_sets
 
@@ -53,9 +53,9 @@ def _batch(columns, types, names):
 
 
 def _survey(batches):
-    """Members (id, n, set), and at the end the task's part of the sketch."""
-    sketch, names = np.zeros(1 << SKETCH_BITS, np.int64), ["id", "n", "set", "slice", "counts"]
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    """Members (id, mark, n, set), and at the end the task's part of the sketch."""
+    sketch, names = np.zeros(1 << SKETCH_BITS, np.int64), ["id", "mark", "n", "set", "slice", "counts"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
     for batch in batches:
         sizes, sets = [], []
         for values in shingle_sets(batch.column("text").to_pylist()):
@@ -63,12 +63,12 @@ def _survey(batches):
             sets.append(fingerprint(values))
             np.add.at(sketch, _cells(values), 1)
         empty = [None] * len(sizes)
-        yield _batch([batch.column("id").to_pylist(), sizes, sets, empty, empty], types, names)
+        yield _batch([batch.column("id").to_pylist(), batch.column("mark").to_pylist(), sizes, sets, empty, empty], types, names)
     width = len(sketch) // SLICES
     for s in range(SLICES):
         part = sketch[s * width : (s + 1) * width]
         if part.any():
-            yield _batch([[None], [None], [None], [s], [part.tobytes()]], types, names)
+            yield _batch([[None], [None], [None], [None], [s], [part.tobytes()]], types, names)
 
 
 def _add_counts(batches):
@@ -217,14 +217,14 @@ LINKED = f"100 * both >= {PERCENT} * whole"
 
 
 def survey(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, object]:
-    """(members, broadcast sketch)."""
-    read = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    found = cut(read.mapInArrow(_survey, "id long, n long, set binary, slice int, counts binary"))
+    """(members, broadcast sketch). A member's ``mark`` is a hash of its text, which tells rows of one key apart."""
+    read = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("text"))
+    found = cut(read.mapInArrow(_survey, "id long, mark long, n long, set binary, slice int, counts binary"))
     parts = found.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, counts binary")
     sketch, width = np.zeros(1 << SKETCH_BITS, np.int64), (1 << SKETCH_BITS) // SLICES
     for row in parts.collect():  # SLICES rows of a fixed size
         sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return found.filter("slice IS NULL").select("id", "n", "set"), docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
+    return found.filter("slice IS NULL").select("id", "mark", "n", "set"), docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
 
 
 def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
@@ -290,18 +290,24 @@ def _between(shared, sets, rays, links, matches):
     return links.unionByName(found.select("a", "b"))
 
 
-def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by links)."""
+def _linked(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """id, mark, n and component_id of every row."""
     members, sketch = survey(docs, text, key)
     top = roots(class_links(docs, sketch, text), "a", "b")
     some = members.filter("n > 0").join(top.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = some.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = some.join(least, "root").select("id", "n", "component_id")
-    alone = members.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = some.join(least, "root").select("id", "mark", "n", "component_id")
+    return out.unionByName(members.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))
+
+
+def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by links)."""
+    return _linked(docs, text, key).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest key; documents without a key stay."""
-    drop = link_documents(docs, text, key).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped"))
-    return docs.join(drop, docs[key] == F.col("_dropped"), "left_anti")
+    number, mark = fresh(docs, "_number"), fresh(docs, "_mark")
+    drop = _linked(docs, text, key).filter(F.col("component_id") < F.col("id")).select(F.col("id").alias(number), F.col("mark").alias(mark))
+    return docs.withColumn(mark, F.xxhash64(F.col(text))).withColumn(number, F.col(key).cast("long")).join(
+        drop, [number, mark], "left_anti").select(*docs.columns)

@@ -126,7 +126,7 @@ def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT) ->
     maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
     spans, row, near = fresh(docs, "_spans"), fresh(docs, "_row"), fresh(docs, "_near")
     found = docs.filter(maybe).withColumn(row, F.monotonically_increasing_id()).withColumn(spans, base_spans(F.col(text)))
-    found = cut(found.filter(F.size(spans) >= 0).withColumn(near, _near(F.col(text), F.col(spans))))
+    found = cut(found.withColumn(near, _near(F.col(text), F.col(spans))))
     terms = found.select(F.col(row).alias("row"), F.explode(near).alias("t")).select("row", "t.*")
     flagged = disclosing_terms(docs, terms.select("row", "entity", "term"), text, support)
     added = terms.join(flagged, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("disclosure").alias("disclosure")).groupBy("row").agg(
