@@ -34,7 +34,8 @@ PAIRS_HELD = 500_000
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SHORT = 64  # words of at most so many bytes are encoded many at a time
-BLOCK = 1 << 13
+BLOCK = 1 << 14
+KNOWN_BITS = 18
 BATCH_CHARS = 4_000_000
 BREAK = b"\xff\xff"  # stands between chunks; no id
 END = 256  # symbol of a byte that ends its word: the byte plus END
@@ -200,6 +201,7 @@ class BlockCoder:
         self.rank, self.left, self.right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for token, (a, b) in codec.halves.items():
             self.rank[token], self.left[token], self.right[token] = codec.rank[token], a, b
+        self.known = np.full(1 << KNOWN_BITS, -1, np.int64)  # pairs tested lately and what came out, by hash
         self.size = np.zeros(n, np.int64)
         self.size[self.end_token] = self.end_size
 
@@ -218,6 +220,18 @@ class BlockCoder:
             left, right = np.where(undo_left, self.right[left], left), np.where(undo_left, right, self.left[right])
         return good
 
+    def follows(self, left, right):
+        """``apart``, remembering pairs: most tests repeat."""
+        pair = left << 16 | right
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        seen = self.known[slot]
+        good = (seen & 1).astype(bool)
+        new = np.flatnonzero(seen >> 1 != pair)
+        if len(new):
+            good[new] = self.apart(left[new], right[new])
+            self.known[slot[new]] = pair[new] << 1 | good[new]
+        return good
+
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space, none empty, at most ``SHORT`` bytes each."""
         text = np.frombuffer("\n".join([*words, ""]).encode("utf-8"), np.uint8)
@@ -246,7 +260,7 @@ class BlockCoder:
                 before = last[np.maximum(i + 1 - size, 0), todo]
                 good = size <= held[todo]
                 test = np.flatnonzero(good & (before >= 0))
-                good[test] = self.apart(before[test], token[test])
+                good[test] = self.follows(before[test], token[test])
                 last[i + 1, todo[good]] = token[good]
                 todo, end = todo[~good], end[~good] + 1
         place, every, steps = sizes.copy(), np.arange(len(words)), []
