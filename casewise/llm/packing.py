@@ -4,7 +4,7 @@ A document is its token ids and one end id. Each task packs the documents it rea
 tokens: documents longer than a sequence give whole sequences first; what is left, in descending order, goes to the sequence of the
 lowest estimated cost (``LINEAR`` per token plus ``QUADRATIC`` per squared piece length: attention stays within a piece) among those
 with room for it. A piece that fits nowhere whole is cut to fill the cheapest sequence that has room. A round opens
-only as many sequences as its tokens fill; what remains is carried to the next round. So a task leaves one sequence unfilled, its last.
+only as many sequences as its tokens fill; what remains is carried to the next round. So a task pads less than one sequence in all.
 
 No row is shuffled, and a task holds one round. Sequence ids are the task's number times 2^40 plus a count, so they don't depend on other
 tasks and a repeated task gives the same ones as long as its input rows are the same.
