@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from casewise.llm.common import fresh, held_out
 
 HIDDEN, WINDOW, BATCH = 8, 256, 4096
-PER_LANGUAGE, TRAIN_CHARS, EPOCHS, TRAIN_BATCH, RATE = 600, 128, 6, 128, 0.02
+PER_LANGUAGE, TRAIN_CHARS, STEPS, TRAIN_BATCH, RATE = 600, 128, 200, 128, 0.02
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -134,27 +134,26 @@ def _bytes_at(joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return joined[np.minimum(at, len(joined) - 1)]
 
 
-def train(texts: list[str], labels: list[int], classes: int, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam over shuffled windows, with a rate that falls to zero."""
+def train(texts: list[str], labels: list[int], classes: int, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    """``steps`` Adam steps over shuffled windows, with a rate that falls to zero."""
     coded = [t.encode("utf-8")[:WINDOW] for t in texts]
     keep = [i for i, t in enumerate(coded) if t]
     coded, y = [coded[i] for i in keep], np.array([labels[i] for i in keep])
     w, rng = new_weights(classes, seed=seed), np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    rounds = epochs * max(1, -(-len(coded) // TRAIN_BATCH))
-    n = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(coded))
-        for i in range(0, len(order), TRAIN_BATCH):
-            chosen = [coded[j] for j in order[i : i + TRAIN_BATCH]]
-            owner, starts, sizes = windows_of(chosen, WINDOW)
-            x = _bytes_at(np.frombuffer(b"".join(chosen), np.uint8), starts, sizes)
-            _, grads = gradients(w, x, sizes, y[order[i : i + TRAIN_BATCH]][owner])
-            n += 1
-            for k, g in grads.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                w[k] -= RATE * (1 - n / (rounds + 1)) * (mean[k] / (1 - 0.9**n)) / (np.sqrt(square[k] / (1 - 0.99**n)) + 1e-8)
+    order = np.empty(0, np.int64)
+    for n in range(1, steps + 1):
+        while len(order) < min(TRAIN_BATCH, len(coded)):
+            order = np.concatenate([order, rng.permutation(len(coded))])
+        picked, order = order[:TRAIN_BATCH], order[TRAIN_BATCH:]
+        chosen = [coded[j] for j in picked]
+        owner, starts, sizes = windows_of(chosen, WINDOW)
+        x = _bytes_at(np.frombuffer(b"".join(chosen), np.uint8), starts, sizes)
+        _, grads = gradients(w, x, sizes, y[picked][owner])
+        for k, g in grads.items():
+            mean[k] += 0.1 * (g - mean[k])
+            square[k] += 0.01 * (g * g - square[k])
+            w[k] -= RATE * (1 - n / (steps + 1)) * (mean[k] / (1 - 0.9**n)) / (np.sqrt(square[k] / (1 - 0.99**n)) + 1e-8)
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
