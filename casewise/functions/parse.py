@@ -99,9 +99,9 @@ def fixed_width_bin(c, width: float, origin: float = 0.0) -> Column:
 
 
 def truncate_decimals(c, places: int = 3) -> Column:
-    """Cut off, without rounding."""
-    scale = 10.0**places
-    return F.floor(F.abs(_col(c)) * scale) / scale * F.signum(_col(c))
+    """Cut off, without rounding; exact for decimals."""
+    scale = 10**places
+    return (F.floor(F.abs(_col(c)) * scale) * F.signum(_col(c).cast("double"))).cast("double") / scale
 
 
 def round_decimals(c, places: int = 2) -> Column:

@@ -138,20 +138,16 @@ def fulfilment_rate(df: DataFrame, flag: str, minutes: Column, by: Sequence[str]
     )
 
 
-def category_ratio(df: DataFrame, category: str, names: Sequence[str], metric: Column) -> DataFrame:
-    """Ratio of a metric between every two of the listed data sets.
+def category_ratio(df: DataFrame, category: str, metric: Column) -> DataFrame:
+    """Ratio of a metric between every two data sets.
 
-    The data sets are reduced to one row each, laid side by side in one row, and paired there.
+    The data sets are reduced to one row each, gathered in one row, and paired there: the result has a row for each pair anyway.
     """
-    if len(names) > 50:
-        raise ValueError("list at most 50 data sets")
-    one = df.where(F.col(category).isin(list(names))).groupBy(category).agg(metric.alias("_m"))
-    wide = one.agg(*[F.max(F.when(F.col(category) == n, F.col("_m"))).alias(f"_m{i}") for i, n in enumerate(names)])
-    pairs = [
-        F.struct(F.lit(a).alias("category"), F.lit(b).alias("other"), F.try_divide(f"_m{i}", f"_m{j}").alias("ratio"))
-        for i, a in enumerate(names) for j, b in enumerate(names) if i != j
-    ]
-    return wide.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+    one = df.where(F.col(category).isNotNull()).groupBy(category).agg(metric.alias("_m"))
+    every = one.agg(F.collect_list(F.struct(F.col(category).alias("name"), F.col("_m").alias("m"))).alias("_all"))
+    pairs = every.select("_all", F.explode("_all").alias("_a")).select("_a", F.explode("_all").alias("_b"))
+    return pairs.where(F.col("_a.name") != F.col("_b.name")).select(
+        F.col("_a.name").alias("category"), F.col("_b.name").alias("other"), F.try_divide("_a.m", "_b.m").alias("ratio"))
 
 
 def trend_by_period(df: DataFrame, epoch: str, by: Sequence[str] = (), year: int | None = None) -> DataFrame:

@@ -118,12 +118,9 @@ def row_slice(df: DataFrame, order_by: Sequence[Column], skip: int = 0, every: i
     return ranked.where((place > 0) & ((place - 1) % every == 0)).drop("_position")
 
 
-def levels(df: DataFrame, column: str, limit: int = 10_000) -> list:
-    """Sorted distinct non-NULL values; refuses columns that are not categorical."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
-    return sorted(found)
+def levels(df: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL values, for results that have a column for each."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def z_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,14 +142,14 @@ def binary_encode(df: DataFrame, column: str) -> DataFrame:
 
 def one_hot_drop_first(df: DataFrame, column: str, known: Sequence[str] | None = None) -> DataFrame:
     """0/1 columns for every level but the first; the text column is dropped."""
-    names = list(known) if known is not None else levels(df, column, limit=500)
+    names = list(known) if known is not None else levels(df, column)
     flags = {f"{column}_{name}": F.when(F.col(column) == name, 1).when(F.col(column).isNotNull(), 0) for name in names[1:]}
     return df.withColumns(flags).drop(column)
 
 
 def ordinal_rank(df: DataFrame, column: str, name: str, start: float = 1.0, step: float = 0.2) -> DataFrame:
     """Evenly spaced number per level, in alphabetical order."""
-    known = levels(df, column, limit=1000)
-    ranks = F.array(*[F.lit(x) for x in known])
-    place = F.nullif(F.array_position(ranks, F.col(column)), F.lit(0))
-    return df.withColumn(name, F.lit(start) + (place - 1) * step)
+    known = df.select(F.col(column).alias("_level")).where(F.col("_level").isNotNull()).distinct()
+    places = order.rank_rows(known, [F.col("_level")], "_place")
+    joined = df.join(places, F.col(column) == F.col("_level"), "left")
+    return joined.withColumn(name, F.lit(start) + (F.col("_place") - 1) * step).drop("_level", "_place")

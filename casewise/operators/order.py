@@ -14,9 +14,8 @@ from pyspark.sql.window import Window as W
 
 from casewise.session import stage
 
-# A group with at most this many distinct values is ranked by one window.
-WINDOW_LIMIT = 1_000_000
-CELLS = 1024
+# Each round cuts a range at so many quantiles; two rounds leave one of CELLS ** 2 parts of a group's distinct values.
+CELLS = 64
 ROUNDS = 2
 ROW_BITS = 33
 
@@ -34,27 +33,15 @@ def join_same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame
     return left.join(renamed, condition).drop(*[f"_r_{k}" for k in by])
 
 
-def order_values(
-    df: DataFrame,
-    value: str,
-    wanted: Callable[[Column], dict[str, Column]],
-    by: Sequence[str] = (),
-    window_limit: int = WINDOW_LIMIT,
-) -> DataFrame:
-    """The values at given 1-based ranks, per group: columns ``by``, ``n`` and the wanted names.
-
-    Rows are first reduced to distinct values with counts. Where every group has few distinct
-    values (estimated by a sketch, one cheap pass), a window per group finds the ranks. Beyond
-    that, each round cuts the value range that still holds a wanted rank into ``CELLS`` equal cells
-    and keeps the cells that are hit, so a group of any size is spread over all tasks and only the
-    last few cells are sorted.
+def order_values(df: DataFrame, value: str, wanted: Callable[[Column], dict[str, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """The values at given 1-based ranks, per group: columns ``by``, ``n`` and the wanted names, in the type of ``value``.
+
+    Rows are first reduced to distinct values with counts. Each round then sketches the quantiles of the distinct values that may
+    still hold a wanted rank, counts exactly what falls between the cut points, and keeps the cells that are hit. So a group of any
+    size is spread over all tasks, wherever its values lie, and only the last few cells are sorted. NaN is the largest value.
     """
     by = list(by)
-    df = df.where(F.col(value).isNotNull())
-    number = F.col(value).cast("double")
-    sketch = df.groupBy(*by).agg(F.approx_count_distinct(number).alias("_d")).agg(F.max("_d")).first()[0]
-    rounds = 0 if (sketch or 0) <= window_limit else ROUNDS
-    rows = df.groupBy(*by, number.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     targets = wanted(F.col("n"))
     asked = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in targets.items()])
     upto = F.col("_upto")
@@ -63,36 +50,28 @@ def order_values(
         """The asked ranks that fall into the last ``size`` positions before ``_upto``."""
         return F.filter("_asked", lambda w: (w["rank"] <= upto) & (w["rank"] > upto - size))
 
-    if rounds == 0:
-        group = W.partitionBy(*by)
-        last = rows.withColumn("n", F.sum("_c").over(group)).withColumn("_upto", F.sum("_c").over(group.orderBy("_v")))
-        found = last.withColumn("_asked", asked).select(*by, "n", "_v", F.explode(hit(F.col("_c"))).alias("_w"))
-    else:
-        found = _narrow(rows, by, asked, hit, rounds)
+    found = _narrow(rows, by, asked, hit)
     picks = [F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in targets]
     return found.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
-def _narrow(rows: DataFrame, by: list[str], asked: Column, hit: Callable, rounds: int) -> DataFrame:
-    """Find the asked ranks by cutting value ranges into cells, ``rounds`` times."""
-    stats = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    spans = stats.select(*by, "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), asked.alias("_asked"))
+def _narrow(rows: DataFrame, by: list[str], asked: Column, hit: Callable) -> DataFrame:
+    """Find the asked ranks by cutting ranges into cells at sketched quantiles, ``ROUNDS`` times."""
+    cuts = F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10 * CELLS).alias("_cuts")
+    stats = rows.groupBy(*by).agg(cuts, F.sum("_c").alias("n"))
+    spans = stats.select(*by, "n", "_cuts", F.lit(0).cast("long").alias("_before"), asked.alias("_asked"))
     upto, path = F.col("_upto"), []
-    for depth in range(rounds):
+    for depth in range(ROUNDS):
         here, name = by + path, f"_cell{depth}"
-        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(0)
-        rows = join_same(rows, spans.select(*here, "_lo", "_hi"), here).withColumn(name, cell.cast("long"))
-        rows = rows.drop("_lo", "_hi")
-        totals = rows.groupBy(*here, name).agg(
-            F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
+        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        rows = join_same(rows, spans.select(*here, "_cuts"), here).withColumn(name, cell).drop("_cuts")
+        totals = rows.groupBy(*here, name).agg(F.sum("_c").alias("_size"), cuts)
         running = F.sum("_size").over(W.partitionBy(*here).orderBy(name))
         totals = join_same(totals, spans.select(*here, "n", "_before", "_asked"), here)
         totals = totals.withColumn("_upto", F.col("_before") + running)
         path = path + [name]
         spans = totals.select(
-            *by, *path, "n", "_lo", "_hi", (upto - F.col("_size")).alias("_before"), hit(F.col("_size")).alias("_asked")
+            *by, *path, "n", "_cuts", (upto - F.col("_size")).alias("_before"), hit(F.col("_size")).alias("_asked")
         ).where(F.size("_asked") > 0)
     here = by + path
     last = join_same(rows, spans.select(*here, "n", "_before", "_asked"), here)
@@ -102,9 +81,7 @@ def _narrow(rows: DataFrame, by: list[str], asked: Column, hit: Callable, rounds
     )
 
 
-def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), window_limit: int = WINDOW_LIMIT
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles (R type 7): columns ``by``, ``n`` and the names in ``probs``."""
 
     def spot(n, p):
@@ -117,18 +94,18 @@ def quantiles(
             ranks[f"_b_{name}"] = F.ceil(spot(n, p)) + 1
         return ranks
 
-    picked = order_values(df, value, wanted, by, window_limit)
+    picked = order_values(df, value, wanted, by)
     results = [
         (
-            F.col(f"_a_{name}")
-            + (spot(F.col("n"), p) - F.floor(spot(F.col("n"), p))) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))
+            F.col(f"_a_{name}").cast("double")
+            + (spot(F.col("n"), p) - F.floor(spot(F.col("n"), p))) * (F.col(f"_b_{name}") - F.col(f"_a_{name}")).cast("double")
         ).alias(name)
         for name, p in probs.items()
     ]
     return picked.select(*by, "n", *results)
 
 
-def hinges(df: DataFrame, value: str, by: Sequence[str] = (), window_limit: int = WINDOW_LIMIT) -> DataFrame:
+def hinges(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Tukey hinges and median: columns ``by``, ``n``, ``lower``, ``median``, ``upper``."""
 
     def wanted(n):
@@ -139,8 +116,8 @@ def hinges(df: DataFrame, value: str, by: Sequence[str] = (), window_limit: int
             "u1": n + 1 - F.ceil(depth), "u2": n + 1 - F.floor(depth),
         }
 
-    picked = order_values(df, value, wanted, by, window_limit)
-    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    picked = order_values(df, value, wanted, by)
+    middle = lambda a, b: (F.col(a).cast("double") + F.col(b).cast("double")) / 2
     return picked.select(
         *by, "n", middle("l1", "l2").alias("lower"), middle("m1", "m2").alias("median"), middle("u1", "u2").alias("upper")
     )

@@ -17,16 +17,9 @@ from pyspark.sql import functions as F
 from casewise.functions.hashing import key_hash
 
 
-# Rows one training task should hold: iterative fits on small tables pay per task and iteration.
-ROWS_PER_TASK = 20_000
 ITERATIONS = 30
 
 
-def sized(rows: DataFrame, n: int) -> DataFrame:
-    """Merge partitions (never split) so a table of ``n`` rows is trained in fitting tasks."""
-    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
-
-
 def fit_pca(df: DataFrame, array_col: str, k: int):
     """Principal components of the centred data; the covariance is summed on the executors."""
     vectors = df.select(array_to_vector(array_col).alias("_v"))
@@ -70,7 +63,7 @@ def kernel_classifier(train: DataFrame, label: str, n: int, cost: float = 1.0, h
         learner = OneVsRest(classifier=svc, labelCol=label, featuresCol="_features")
     else:
         raise ValueError(f"unknown head {head!r}")
-    return learner.fit(sized(train, n))
+    return learner.fit(train)
 
 
 def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[float], folds: int = 5, seed: int = 100) -> DataFrame:
@@ -78,13 +71,13 @@ def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[flo
     marked = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).persist()
     try:
         total = marked.count()
-        rows, n = sized(marked, total), max(total * (folds - 1) // folds, 1)
+        n = max(total * (folds - 1) // folds, 1)
         learner = LogisticRegression(labelCol=label, featuresCol="_features", maxIter=ITERATIONS)
         grid = ParamGridBuilder().addGrid(learner.regParam, [1.0 / (c * n) for c in costs]).build()
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         fitted = CrossValidator(
             estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=4
-        ).fit(rows)
+        ).fit(marked)
     finally:
         marked.unpersist()
     best = int(np.argmax(fitted.avgMetrics))

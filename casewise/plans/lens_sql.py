@@ -105,7 +105,7 @@ LENS_SQL = {
         SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
                o_totalprice / 500000 AS score FROM orders""",
     "coarse": """
-        SELECT doc_id AS key, quality AS label, least(n_chars, 4000) // 500 / 8 AS score
+        SELECT doc_id AS key, quality AS label, n_chars // 500 / 8 AS score
         FROM labels JOIN documents USING (doc_id)""",
     "risk": """
         SELECT o_orderkey AS key, CASE WHEN o_totalprice / 5000 + (o_orderkey * 7919) % 101 > 100 THEN 1 ELSE 0 END AS label,

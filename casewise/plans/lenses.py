@@ -259,7 +259,7 @@ def coarse(spark, folder):
     return labels.join(docs, "doc_id").select(
         F.col("doc_id").alias("key"),
         F.col("quality").alias("label"),
-        (F.floor(F.least(F.col("n_chars"), F.lit(4000)) / 500) / 8).alias("score"),
+        (F.floor(F.col("n_chars") / 500) / 8).alias("score"),
     )
 
 

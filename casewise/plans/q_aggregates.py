@@ -50,17 +50,18 @@ def _(spark, folder):
 
 
 @query("global_sum_total", "cdr", f"""
-    SELECT trunc(sum(call_in) + sum(call_out) + 1e-7, 3) AS call_activity, trunc(sum(sms_in) + sum(sms_out) + 1e-7, 3) AS sms_activity,
-           trunc({TOTAL_SQL} + 1e-7, 3) AS total_activity
-    FROM cdr WHERE country_code = 7 AND square_id BETWEEN 101 AND 103""")
+    SELECT CAST(floor((sum(call_in) + sum(call_out)) * 1000) AS DOUBLE) / 1000 AS call_activity,
+           CAST(floor((sum(sms_in) + sum(sms_out)) * 1000) AS DOUBLE) / 1000 AS sms_activity,
+           CAST(floor(({TOTAL_SQL}) * 1000) AS DOUBLE) / 1000 AS total_activity
+    FROM (SELECT country_code, square_id, {", ".join(f"CAST({m} AS DECIMAL(18, 4)) AS {m}" for m in lens.ACTIVITY)} FROM cdr)
+    WHERE country_code = 7 AND square_id BETWEEN 101 AND 103""")
 def _(spark, folder):
     path = io.write_partitioned(_subset(spark, folder), work_path(spark, "by-country"), ["country_code"])
     rows = spark.read.parquet(path).where((F.col("country_code") == 7) & F.col("square_id").isin(101, 102, 103))
 
     def total(measures):
-        # A shift far below the third decimal keeps exact sums from falling under their own value.
-        sums = sum((F.sum(m) for m in measures[1:]), F.sum(measures[0]))
-        return parse.truncate_decimals(sums + 1e-7, 3)
+        exact = [F.sum(F.col(m).cast("decimal(18,4)")) for m in measures]
+        return parse.truncate_decimals(sum(exact[1:], exact[0]), 3)
 
     return rows.agg(
         total(["call_in", "call_out"]).alias("call_activity"),
@@ -194,7 +195,7 @@ def _(spark, folder):
     SELECT a.category, b.category AS other, round(a.metric / b.metric, 6) AS ratio FROM one a JOIN one b ON a.category <> b.category""")
 def _(spark, folder):
     pairs = lens.review(spark, folder).select("category", "reviewer").distinct()
-    return tidy(agg.category_ratio(pairs, "category", ["F", "O", "P"], F.count("reviewer")))
+    return tidy(agg.category_ratio(pairs, "category", F.count("reviewer")))
 
 
 @query("trend_by_period", "review", """

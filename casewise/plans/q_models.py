@@ -14,7 +14,11 @@ SEED = 100
 HASH_SQL = "('0x' || substr(md5('100:' || {key}), 1, {digits}))::UBIGINT"
 CAR_PREDICTORS = ["size", "wheel", "width", "power", "span"]
 RISK_PREDICTORS = ["price", "income", "tenure", "priority", "span"]
-WIDTH = 64
+
+
+def _width(spark, folder) -> int:
+    """Values in a vector."""
+    return lens.vec(spark, folder).agg(F.max(F.size("pixels"))).first()[0]
 
 
 # ---------------------------------------------------------------- splits
@@ -338,7 +342,7 @@ def _(spark, folder):
 
 @query("pca_variance")
 def _(spark, folder):
-    return tidy(reduce.pca_variance(lens.vec(spark, folder), "pixels", WIDTH))
+    return tidy(reduce.pca_variance(lens.vec(spark, folder), "pixels", _width(spark, folder)))
 
 
 def _split_vectors(spark, folder):
@@ -350,16 +354,19 @@ def _(spark, folder):
     marked = _split_vectors(spark, folder)
     model = reduce.fit_pca(marked.where("is_train"), "pixels", 45)
     out = reduce.pca_project(model, marked, "pixels")
-    return tidy(out.select("vec_id", "is_train", *[F.abs(F.get("projected", i)).alias(f"component{i + 1}") for i in range(3)]), 4)
+    # The sign of a component is arbitrary.
+    components = F.transform("projected", lambda x: F.round(F.abs(x), 4) + 0.0)
+    return out.select("vec_id", "is_train", components.alias("components"))
 
 
 def _kernel_vectors(spark, folder):
-    return reduce.fourier_features(_split_vectors(spark, folder), "pixels", WIDTH, 96, 1.0 / WIDTH, SEED)
+    width = _width(spark, folder)
+    return reduce.fourier_features(_split_vectors(spark, folder), "pixels", width, 96, 1.0 / width, SEED)
 
 
 @query("kernel_classifier")
 def _(spark, folder):
-    rows = _kernel_vectors(spark, folder).drop("pixels").persist()
+    rows = _kernel_vectors(spark, folder).drop("pixels")
     train = rows.where("is_train")
     model = reduce.kernel_classifier(train, "digit", train.count(), cost=2.0)
     called = model.transform(rows.where("NOT is_train")).select("digit", F.col("prediction").cast("long").alias("predicted"))
@@ -369,5 +376,6 @@ def _(spark, folder):
 @query("cross_validate_grid")
 def _(spark, folder):
     sample = ev.split_stratified(lens.vec(spark, folder), "vec_id", "digit", 0.2, SEED).where("is_train")
-    rows = reduce.fourier_features(sample, "pixels", WIDTH, 96, 1.0 / WIDTH, SEED).drop("pixels")
+    width = _width(spark, folder)
+    rows = reduce.fourier_features(sample, "pixels", width, 96, 1.0 / width, SEED).drop("pixels")
     return tidy(reduce.cross_validate_grid(rows, "vec_id", "digit", [0.1, 0.5, 1.0, 2.0]))

@@ -48,7 +48,7 @@ def _(spark, folder):
     FROM vec GROUP BY digit""")
 def _(spark, folder):
     vectors = lens.vec(spark, folder)
-    width = 64
+    width = vectors.agg(F.max(F.size("pixels"))).first()[0]
     flat = vectors.select("digit", *[F.get("pixels", i).alias(f"pixel{i + 1}") for i in range(width)])
     path = io.write_delimited(flat, work_path(spark, "vec"), sep=",")
     back = io.read_unnamed_csv(spark, path, "digit", "pixel", width)

@@ -357,11 +357,10 @@ def _(spark, folder):
 
 
 @query("truncate_decimals", "cdr", """
-    SELECT square_id, trunc(sum(call_in / 7) + 1e-6, 3) AS call_in FROM cdr GROUP BY square_id""")
+    SELECT square_id, CAST(floor(sum(CAST(internet AS DECIMAL(18, 4))) * 10) AS DOUBLE) / 10 AS internet FROM cdr GROUP BY square_id""")
 def _(spark, folder):
-    sums = lens.cdr(spark, folder).groupBy("square_id").agg(F.sum(F.col("call_in") / 7).alias("call_in"))
-    # A shift far below the third decimal keeps exact sums from falling under their own value.
-    return sums.select("square_id", parse.truncate_decimals(F.col("call_in") + 1e-6, 3).alias("call_in"))
+    sums = lens.cdr(spark, folder).groupBy("square_id").agg(F.sum(F.col("internet").cast("decimal(18,4)")).alias("internet"))
+    return sums.select("square_id", parse.truncate_decimals("internet", 1).alias("internet"))
 
 
 @query("round_decimals", "loan", """
@@ -440,7 +439,7 @@ def _(spark, folder):
 def _day_columns(spark, folder):
     """One column per calendar day, named by its date."""
     times = lens.clock(spark, folder).withColumn("day", F.col("day").cast("string"))
-    days = clean.levels(times, "day", limit=400)
+    days = clean.levels(times, "day")
     return relate.pivot_groups(times, ["entity"], "day", days, F.first("in_at"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import functools
+import atexit
 import os
-import tempfile
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,25 +44,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    folder on this machine, because there every task runs on this machine.
+    ``spark.checkpoint.dir`` names it; without that it lies in the warehouse, which executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="casewise-")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(work_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(work_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        # One process on one machine: what it staged goes with it.
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
