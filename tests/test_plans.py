@@ -46,8 +46,9 @@ def test_filter_reaches_the_scan(spark, tiny):
     assert "EqualTo(o_orderstatus,F)" in plan and "LessThan(c_acctbal,5000.0)" in plan
 
 
-@pytest.mark.parametrize("window_limit", [1_000_000, 0])
-def test_ranks_never_sort_raw_rows_in_one_task(spark, tiny, window_limit):
-    """Raw rows are reduced to distinct values before any exchange to a single partition."""
-    plan = plan_of(order.quantiles(lens.loan(spark, tiny), "loan_amnt", {"m": 0.5}, ["purpose"], window_limit))
-    assert "SinglePartition" not in plan
+@pytest.mark.parametrize("by", [["purpose"], []])
+def test_ranks_never_sort_values_in_one_task(spark, tiny, by):
+    """Values are dealt to cells before any window; only the cells' sizes, at most CELLS a group, are ever ordered without a key."""
+    plan = plan_of(order.quantiles(lens.loan(spark, tiny), "loan_amnt", {"m": 0.5}, by))
+    assert not re.search(r"Window \[[^\]]*\], \[_v", plan)
+    assert "_cell0" in plan and "_cell1" in plan
