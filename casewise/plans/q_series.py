@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewise.operators import rank
 from casewise.operators import series as ts
 from casewise.plans import lenses as lens
+from casewise.plans.lens_sql import LENS_SQL
 from casewise.plans.registry import query
 from casewise.plans.shape import tidy
 
@@ -167,6 +168,19 @@ def _(spark, folder):
     return _accuracy(marked.where(~F.col("is_train")).join(ahead.drop("month"), ["series", "t"]))
 
 
+QUANTITY_SQL = f"""
+    WITH monthly AS ({LENS_SQL["monthly"].replace("sum(sales)", "sum(quantity)")}),
+    series AS ({LENS_SQL["series"]}),
+    """ + FIT_SQL.strip().removeprefix("WITH ")
+
+
+@query("quantity_accuracy", "retail", QUANTITY_SQL + ACCURACY_SQL.format(points="fitted WHERE t > n - 6"))
+def _(spark, folder):
+    """The same model on the monthly quantity."""
+    points = lens.series(spark, folder, measure="quantity")
+    return _accuracy(_fitted(ts.holdout_last_k(points, "series", "t", HOLDOUT)).where(~F.col("is_train")))
+
+
 @query("smoothed_accuracy", SERIES, """
     WITH smooth AS (SELECT series, month, t, CASE WHEN count(*) OVER f = 4 THEN avg(value) OVER f END AS s,
                            count(*) OVER (PARTITION BY series) AS n FROM series
