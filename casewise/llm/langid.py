@@ -23,6 +23,7 @@ from casewise.llm.common import fresh, held_out
 
 HIDDEN, WINDOW, BATCH = 8, 256, 4096
 PER_LANGUAGE, TRAIN_CHARS, STEPS, TRAIN_BATCH, RATE = 600, 128, 200, 128, 0.02
+PARTS = 64
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -195,10 +196,14 @@ def training_rows(docs: DataFrame, text: str, lang: str, key: str, per_language:
     """At most ``per_language`` documents of each language outside the held-out fifth; of each a passage from its middle."""
     known = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")).filter(
         ~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key", "text")
     middle = F.greatest(F.floor(F.char_length("text") / 2) - TRAIN_CHARS // 2, F.lit(0)) + 1
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
-    return chosen.select("lang", "place", F.substr("text", middle.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    order = F.xxhash64(F.col("key").cast("string")).alias("order")
+    passages = known.select("lang", order, "key", F.substr("text", middle.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    # The smallest hashes of each of many parts of a language, then those of the language: no task meets all rows of one.
+    for part in (["lang", F.pmod("order", F.lit(PARTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("order", "key", "text"))
+        passages = passages.withColumn("place", place).filter(F.col("place") <= per_language)
+    return passages.select("lang", "place", "text")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], dict]:
