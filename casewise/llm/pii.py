@@ -108,9 +108,8 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, support: int =
     """(entity, term, disclosure) over the whole corpus. ``near``: a row per document that has a protected value (row, entity, term)."""
     pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    seen = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # added up in each task before it is shuffled
     total = docs.count()
     counted = pairs.join(entities, "entity").join(seen, "term")
     pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
