@@ -21,21 +21,27 @@ another id. Repeated rows are members of one class.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewise.llm.bounded_filter import key_filter, passes
-from casewise.llm.common import cut, fresh
+from casewise.llm.common import cut, fresh, write_table
 from casewise.llm.components import roots
 from casewise.llm.shingles import mix, shingle_sets
 
 PERCENT = 80
 SKETCH_BITS, SLICES = 20, 16
-MOST_MATCHES = 8
-POSTING_COST, SCAN_COST, VERIFY_COST = 1.0, 1.0, 0.02  # a prefix shingle, a candidate met, a shingle of a candidate verified
+POSTING_COST, SCAN_COST, VERIFY_COST = 1.0, 1.0, 0.5  # a prefix shingle, a document met, a shingle of a candidate verified
+STRAY, FEWEST = 0.05, 12
+SIZE_SHIFT = 31  # sizes and matches are packed into one number
 SEEN_SETS = 100_000
+WANTED_BITS = 1 << 24
+LARGE_SET, LEADER_SHARE = 200, 8  # of larger sets, one shingle in so many votes for a leader
 
 
 def needed(n):
@@ -43,6 +49,11 @@ def needed(n):
     return (PERCENT * n + 99) // 100
 
 
+def least_matches(n: int) -> int:
+    """What a set of n shingles asks for at least, so that a partner's size tells something about what the partner asks for."""
+    return max(1, n // FEWEST)
+
+
 def fingerprint(values: np.ndarray) -> bytes:
     """128 bits of a set, whatever the order."""
     return np.array([values.sum(dtype=np.uint64), mix(values ^ np.uint64(0x5BD1E995A5A5A5A5)).sum(dtype=np.uint64)], ">u8").tobytes()
@@ -68,14 +79,14 @@ def _survey(batches):
     for s in range(SLICES):
         part = sketch[s * width : (s + 1) * width]
         if part.any():
-            yield _batch([[None], [None], [None], [None], [s], [part.tobytes()]], types, names)
+            yield _batch([[None], [None], [None], [None], [s], [zlib.compress(part.astype("<u4").tobytes(), 1)]], types, names)
 
 
 def _add_counts(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            part = np.frombuffer(row["counts"], np.int64)
+            part = np.frombuffer(zlib.decompress(row["counts"]), "<u4").astype(np.int64)
             sums[row["slice"]] = sums[row["slice"]] + part if row["slice"] in sums else part
     for s, total in sums.items():
         yield _batch([[s], [total.tobytes()]], (pa.int32(), pa.binary()), ["slice", "counts"])
@@ -86,16 +97,16 @@ def _cells(values: np.ndarray) -> np.ndarray:
 
 
 def choose_prefix(values: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
-    """A set's prefix in the global order and the matches it asks for. ``counts``: the sketch's counts of its values."""
+    """A set's prefix in the global order and the matches it asks for. ``counts``: the sketch's counts of its values.
+
+    Documents met in a prefix: what its shingles' cells hold beyond the noise, and ``STRAY`` for a shingle that a few may share. At most a share of
+    1 / matches of the meetings can be candidates, and each costs the reading and shuffling of a whole set."""
     n = len(values)
     order = np.lexsort((values, counts))
-    most = min(MOST_MATCHES, int(needed(n)))
-    base = n - int(needed(n))
-    # Documents expected to meet in the prefix of each number of matches: what a shingle's cell holds beyond the noise.
-    met = np.cumsum(np.maximum(counts[order[: base + most]] - noise, 0.0))[base:]
-    matches = np.arange(1, most + 1)
+    base, matches = n - int(needed(n)), np.arange(least_matches(n), int(needed(n)) + 1)
+    met = np.cumsum(np.maximum(counts[order] - noise, 0.0) + STRAY)[base + matches - 1]
     cost = POSTING_COST * (base + matches) + met * (SCAN_COST + VERIFY_COST * n / matches)
-    best = int(cost.argmin()) + 1
+    best = int(matches[cost.argmin()])
     return values[order[: base + best]], best
 
 
@@ -131,7 +142,7 @@ def _postings(repeated):
                 kept = prefix[passes(repeated.value, prefix)]
                 tokens.append(kept.view(np.int64))
                 sets += [row["set"]] * len(kept)
-                packed.append(np.full(len(kept), row["n"] << 8 | row["matches"]))
+                packed.append(np.full(len(kept), row["n"] << SIZE_SHIFT | row["matches"], np.int64))
             if sets:
                 yield _batch([np.concatenate(tokens), sets, np.concatenate(packed)], (pa.int64(), pa.binary(), pa.int64()), ["token", "set", "size"])
 
@@ -160,7 +171,7 @@ def _lead(batches):
         fresh_row = ~(same & np.concatenate([[False], sets[1:] == sets[:-1]]))
         token, size, sets = token[fresh_row], size[fresh_row], sets[fresh_row]
         same = np.concatenate([[False], token[1:] == token[:-1]])
-        band = size_band(size >> 8)
+        band = size_band(size >> SIZE_SHIFT)
         begins = ~(same & np.concatenate([[False], band[1:] == band[:-1]]))
         leads = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
         leader, leader_size = sets[leads], size[leads]
@@ -184,7 +195,7 @@ def _wanted_sets(wanted):
             rows = []
             for values in shingle_sets(batch.column("text").to_pylist()):
                 name = fingerprint(values)
-                if len(values) and name not in seen and passes(wanted.value, np.frombuffer(name[:8], "<u8"))[0]:
+                if len(values) and name not in seen and passes(wanted.value, np.frombuffer(name[:8], "<u8"), WANTED_BITS)[0]:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(name)
@@ -206,11 +217,19 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["a", "b", "both", "whole"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact overlaps of pairs (a, b) of classes: a, b, both, whole."""
+def verify(read: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact overlaps of pairs (a, b) of classes: a, b, both, whole. Only sets that stand in a pair leave their task."""
+    pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("both"), F.lit(1).cast("long").alias("whole"))
+    names = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = key_filter(names, "set", 1, WANTED_BITS)
+    sets = read.mapInArrow(_wanted_sets(wanted), "set binary, values binary").join(names, "set", "left_semi").dropDuplicates(["set"])
     left = sets.select(F.col("set").alias("a"), F.col("values").alias("values_a"))
     right = sets.select(F.col("set").alias("b"), F.col("values").alias("values_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_overlaps, "a binary, b binary, both long, whole long")
+    out = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a binary, b binary, both long, whole long"))
+    wanted.destroy()
+    return out
 
 
 LINKED = f"100 * both >= {PERCENT} * whole"
@@ -231,45 +250,56 @@ def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
     """Links between classes (a, b), enough to connect all that are connected."""
     read = docs.select(docs[text].alias("text"))
     prefixes = cut(read.mapInArrow(_prefixes(sketch), "set binary, n long, matches long, prefix binary"))
-    postings = prefixes.mapInArrow(_postings(key_filter(prefixes, "prefix", 2)), "token long, set binary, size long")
+    sketch.destroy()
+    repeated = key_filter(prefixes, "prefix", 2)
+    postings = prefixes.mapInArrow(_postings(repeated), "token long, set binary, size long")
     sorted_ = postings.repartition(F.col("token")).sortWithinPartitions("token", "size", "set")
-    shared = cut(sorted_.mapInArrow(_lead, "token long, set binary, size long, leader binary, leader_size long"))
-    matches = lambda c: F.col(c).bitwiseAND(255)
-    # A set that shares fewer prefix shingles than it asks for itself may still meet one that asks for less; it needs one match at least.
-    sets = cut(read.mapInArrow(_wanted_sets(key_filter(shared.select("set").distinct(), "set", 1)), "set binary, values binary")
-               .dropDuplicates(["set"]).join(shared.select("set").distinct(), "set", "left_semi"))
-
-    met = shared.filter("set <> leader").groupBy("set", "leader").agg(
-        F.count(F.lit(1)).alias("met"), F.least(F.min(matches("size")), F.min(matches("leader_size"))).alias("asked")).filter("met >= asked")
+    shared = write_table(sorted_.mapInArrow(_lead, "token long, set binary, size long, leader binary, leader_size long"))
+    repeated.destroy()
+    matches = lambda c: F.col(c).bitwiseAND((1 << SIZE_SHIFT) - 1)
+
+    # Who leads whom is a guess that verification checks; what it misses is found between the stars.
+    large = F.shiftright("size", SIZE_SHIFT) >= LARGE_SET
+    votes = shared.filter("set <> leader").filter(~large | (F.pmod("token", F.lit(LEADER_SHARE)) == 0))
+    met = votes.groupBy("set", "leader").agg(
+        F.sum(F.when(large, LEADER_SHARE).otherwise(1)).alias("met"),
+        F.least(F.min(matches("size")), F.min(matches("leader_size"))).alias("asked")).filter(F.col("met") * 2 >= F.col("asked"))
     best = met.groupBy("set").agg(F.max(F.struct("met", "leader")).alias("best")).select(F.col("set").alias("a"), F.col("best.leader").alias("b"))
-    starred = cut(verify(best, sets).filter(LINKED))
+    starred = verify(read, best).filter(LINKED)
 
     centres = starred.select(F.col("b").alias("set")).distinct()
     # A class that leads is a centre itself; its own link stays a link.
     rays = starred.join(centres.withColumnRenamed("set", "a"), "a", "left_anti").select(
         F.col("a").alias("set"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("whole")).alias("far"))
     rays = cut(rays)
-    links = cut(_between(shared, sets, rays, starred.select("a", "b"), matches))
-    return links
+    return cut(_between(read, shared, rays, starred.select("a", "b"), matches))
 
 
-def _between(shared, sets, rays, links, matches):
+def _between(read, shared, rays, links, matches):
     """All links so far and those found between stars."""
-    placed = shared.select("token", "set", (F.shiftright("size", 8)).alias("n"), matches("size").alias("asked")).join(rays, "set", "left")
-    placed = placed.withColumn("centre", F.coalesce("centre", "set"))
-    top = roots(links, "a", "b").select(F.col("node").alias("centre"), "root")
-    placed = placed.groupBy("token", "centre").agg(F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = placed.join(top, "centre", "left").withColumn("root", F.coalesce("root", "centre"))
-    # Only shingles that more than one component has.
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")
-    placed = cut(placed.join(mixed, "token", "left_semi"))
+    # Sets of one root are connected; a centre may hang on a centre itself.
+    parent = links.select(F.col("a").alias("centre"), F.col("b").alias("root"))
+    placed = shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), matches("size").alias("asked"))
+    label = rays.select("set", "centre").join(parent, "centre", "left").select("set", "centre", F.coalesce("root", "centre").alias("root"))
+    label = cut(label.unionByName(parent.select(F.col("centre").alias("set"), "centre", "root").join(rays.select("set"), "set", "left_anti")))
+    placed = placed.join(label, "set", "left").withColumns({c: F.coalesce(c, "set") for c in ("centre", "root")})
+    # Only shingles that sets of several roots have; and of those only sets that have as many as any partner would ask for.
+    ends = Window.partitionBy("token")
+    mixed = placed.repartition(F.col("token")).withColumn("several", F.min("root").over(ends) != F.max("root").over(ends)).filter("several").drop("several")
+    mixed = write_table(mixed)
+    partner = F.floor(F.ceil(F.col("n") * PERCENT / 100) / FEWEST)
+    fit = mixed.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.min("asked").alias("asked"), F.min("n").alias("n")).filter(
+        F.col("held") >= F.least("asked", F.greatest(partner, F.lit(1)))).select("set")
+    placed = mixed.join(fit, "set", "left_semi").groupBy("token", "centre", "root").agg(
+        F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = cut(placed)
     x = placed.select("token", *(F.col(c).alias(c + "_a") for c in ("centre", "root", "asked", "low", "high")))
     y = placed.select("token", *(F.col(c).alias(c + "_b") for c in ("centre", "root", "asked", "low", "high")))
     fits = (F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT)
     pairs = x.join(y, "token").filter((F.col("centre_a") < F.col("centre_b")) & (F.col("root_a") != F.col("root_b")) & fits)
     pairs = pairs.groupBy("centre_a", "centre_b").agg(
         F.count(F.lit(1)).alias("met"), F.least(F.min("asked_a"), F.min("asked_b")).alias("asked")).filter("met >= asked")
-    measured = cut(verify(pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")), sets))
+    measured = verify(read, pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))
     links = links.unionByName(measured.filter(LINKED).select("a", "b"))
 
     # Members of two stars can link only if their centres are near enough for it.
@@ -286,7 +316,7 @@ def _between(shared, sets, rays, links, matches):
     members = near.join(every.select(F.col("centre").alias("a"), F.col("set").alias("x"), F.col("far").alias("far_x")), "a")
     members = members.join(every.select(F.col("centre").alias("b"), F.col("set").alias("y"), F.col("far").alias("far_y")), "b")
     members = members.filter((F.col("far_x") + F.col("far_y") > 0) & (F.col("gap") <= F.col("far_x") + F.col("far_y") + limit + slack))
-    found = verify(members.select(F.col("x").alias("a"), F.col("y").alias("b")), sets).filter(LINKED)
+    found = verify(read, members.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter(LINKED)
     return links.unionByName(found.select("a", "b"))
 
 
