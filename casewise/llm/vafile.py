@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from casewise.llm.common import cut
 
 SCALE, TOP = 64, 20
-CELLS = 16
+CELLS = 256  # a byte for each dimension; whole numbers that span less have a cell each, so their bounds are exact
 BLOCK_ROWS, QUERY_ROWS, CHUNK = 65_536, 1024, 2048
 
 
