@@ -216,3 +216,36 @@ def test_hot_passage(spark):
     got = passages.repeated_passages(docs).collect()
     assert sorted(r.doc_id for r in got) == [i for i in range(300) if i % 3 == 0]
     assert passages.class_passages(docs.select("text")).count() == 2 * 99
+
+
+def test_passages_of_two_frequent_lines(spark):
+    """Passages of two frequent lines, each of which also stands alone with other neighbours: no leader holds the whole, yet all are found."""
+    rng, rows = random.Random(4), []
+
+    def fill(n):
+        return " ".join(f"u{rng.random()}" for _ in range(n))
+
+    for g in range(30):
+        one, two = (" ".join(f"g{g}{side}{k}" for k in range(26)) for side in "lr")
+        texts = [fill(60) + " " + line + " " + fill(60) for line in (one, two) * 6]
+        texts += [fill(60) + " " + one + " " + two + " " + fill(60) for _ in range(2)]
+        rows += texts
+    rows = list(enumerate(rows))
+    got = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r.doc_id].update(range(r.first_word, r.first_word + r.n_words))
+    covered = repeats(rows, 50)
+    assert len(covered) == 60 and all(places <= got[i] for i, places in covered.items())
+
+
+def test_runs_follow_shingles():
+    rng = np.random.default_rng(2)
+    line = rng.integers(0, 1 << 63, 7).astype(np.uint64)
+    for values in (rng.integers(0, 1 << 63, 200).astype(np.uint64), np.tile(line, 20)):
+        cuts = np.array([0, 30, 30, len(values)])
+        _, low, high, _ = passages.anchored(values, cuts)
+        places = sorted(i for a, b in zip(low.tolist(), high.tolist()) for i in range(a, b + 1))
+        assert places == list(range(30, len(values) - passages.LEAST + 1))
+        hashes = passages.run_hashes(values).tolist()
+        runs = [tuple(values[i : i + passages.LEAST].tolist()) for i in range(len(hashes))]
+        assert len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
