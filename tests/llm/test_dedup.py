@@ -249,3 +249,20 @@ def test_runs_follow_shingles():
         hashes = passages.run_hashes(values).tolist()
         runs = [tuple(values[i : i + passages.LEAST].tolist()) for i in range(len(hashes))]
         assert len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
+
+
+@pytest.mark.parametrize("phrase", [(28, 33), (0, 12), (48, 60), (20, 40)])
+def test_phrases_that_stand_elsewhere(phrase):
+    """A phrase of the passage that also stands far before or after it in the other text doesn't cut the passage in two."""
+    rng = np.random.default_rng(6)
+    p, q, between, much = (rng.integers(0, 1 << 62, n) for n in (60, 60, 40, 5000))
+
+    def shingles(words):
+        return combine(words.astype(np.uint64), np.zeros(len(words), np.int64))[0]
+
+    part = p[slice(*phrase)]
+    x = shingles(np.concatenate([p, q]))
+    for other in (np.concatenate([part, much, p, between, q]), np.concatenate([p, between, q, much, part])):
+        found = passages.shared_passages(x, shingles(other), [(0, len(x))])
+        covered = {i for a, b, _, _ in found for i in range(a, b)}
+        assert covered >= {*range(56), *range(60, 116)}
