@@ -291,7 +291,7 @@ class Codec:
         # A token that the merges never leave whole can't be in any result.
         usable = {t: s for t, s in spelled.items() if t not in self.halves or self.whole(t)}
         self.automaton = SuffixAutomaton(usable)
-        self.words = _Remembered(self._encode_word, WORDS_HELD)
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.numbers = list(map(str, range(len(self.strings))))
         self.block = BlockCoder(self)
@@ -372,14 +372,24 @@ class Codec:
             self.words.clear()
         order = list(new)
         flat = self.words_or_breaks.findall("\n".join([*order, ""]))
-        words = [w for w in set(flat).difference(self.words) if len(w) <= SHORT // 4 and w != "\n"]
-        for i in range(0, len(words), BLOCK):
-            block = words[i : i + BLOCK]
+        unseen = set(flat).difference(self.words)
+        unseen.discard("\n")
+        if len(self.words) + len(unseen) > WORDS_HELD:
+            self.words.clear()
+            unseen = set(flat)
+            unseen.discard("\n")
+        # This block's words stay until it is joined, also if they alone exceed the bound: nothing is dropped in between.
+        short = [w for w in unseen if len(w) <= SHORT // 4]
+        for i in range(0, len(short), BLOCK):
+            block = short[i : i + BLOCK]
             self.words.update(zip(block, self.block.encode(block)))
+        self.words.update([(w, self._encode_word(w)) for w in unseen if len(w) > SHORT // 4])
         self.words["\n"] = BREAK
         blob = b"".join(map(self.words.__getitem__, flat))
         stops = (2 * np.flatnonzero(np.frombuffer(blob, "<u2") == 0xFFFF)).tolist()
         self.chunks.update(zip(order, [blob[a:b] for a, b in zip([0, *(x + 2 for x in stops)], stops)]))
+        if len(self.words) > WORDS_HELD:
+            self.words.clear()
 
     def chunked(self, text: str) -> list[str]:
         """Normalised text without special tokens, cut at white space."""

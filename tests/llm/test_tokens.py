@@ -54,6 +54,17 @@ def test_small_tables_change_nothing(library, texts, monkeypatch):
     assert [x.tolist() for x in codec.encode_all(some)] == [encoded(library, t) for t in some]
 
 
+def test_more_words_than_the_table_holds(library, monkeypatch):
+    """One chunk holds many words, some of over 16 letters: the table's bound falls within a block."""
+    monkeypatch.setattr(bpe, "WORDS_HELD", 20)
+    codec = bpe.Codec(bpe.read_tables(tokenizer()))
+    rng = random.Random(7)
+    for _ in range(5):
+        some = [".".join("".join(rng.choice("abcdeort") for _ in range(rng.choice([2, 3, 5, 17, 25]))) for _ in range(12)) + " end" for _ in range(15)]
+        assert [x.tolist() for x in codec.encode_all(some)] == [encoded(library, t) for t in some]
+        assert len(codec.words) <= 20
+
+
 def test_round_trip_query(results, library, texts):
     for r in results("op5_bpe_round_trip"):
         ids = encoded(library, texts[r.doc_id])
