@@ -38,8 +38,8 @@ def whole_vector(vector: Column) -> Column:
 def classes(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """One row per distinct vector: ``class`` (its smallest id), ``v``, ``n`` (dimensions) and its ``ids``, the k + 1 smallest."""
     rows = vectors.select(vectors[key].alias("id"), whole_vector(vectors[vector]).alias("v")).filter(F.col("v").isNotNull() & F.col("id").isNotNull())
-    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
-    return few.groupBy("v").agg(F.min("id").alias("class"), F.array_sort(F.collect_set("id")).alias("ids")).withColumn("n", F.size("v"))
+    few = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
+    return few.groupBy("v").agg(F.min("id").alias("class"), F.array_sort(F.collect_list("id")).alias("ids")).withColumn("n", F.size("v"))
 
 
 def cell_marks(found: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:

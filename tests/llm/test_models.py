@@ -194,6 +194,14 @@ def test_top_k_brute_force(spark, k):
     assert set(got) == {q for q in fine if q % 5 == 0}
 
 
+def test_equal_vectors_of_repeated_rows(spark):
+    """Rows that stand several times don't use up the places of a class."""
+    rows = [(i, [0.5, 0.5]) for i in range(30)] * 2 + [(0, [0.5, 0.5])] * 25 + [(100 + i, [0.25, 0.25]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = vafile.top_k(frame, F.col("vec_id") == 29, k=20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20))
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(9)
     frame = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "vec_id long, embedding array<float>")
