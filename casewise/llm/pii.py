@@ -1,10 +1,10 @@
 r"""Personal data: patterns, and terms that give a protected value away; DataFrame functions only.
 
 Base kinds are e-mail and IP addresses, card and phone numbers, found by pattern and then checked. The method adds spans of kind
-``term``: with every value found being a protected entity e, a term t near it (within ``REACH`` characters) discloses it to the degree
-``PMI(t, e) / IC(e)``, where PMI = log(N n(t,e) / (n(t) n(e))) and IC = log(N / n(e)) come from document counts over the whole corpus.
-1 means that the term never occurs without the value. From ``GENERALISE_AT`` on, the term is replaced by a general placeholder where it
-stands near the value, from ``REMOVE_AT`` on it is removed. A pair that fewer than ``SUPPORT`` documents share is no evidence. Base spans are always replaced by the name of their kind.
+``term``: with every value found being a protected entity e, a term t of the same document discloses it to the degree
+``PMI(t, e) / IC(e)``, where PMI = log(N n(t,e) / (n(t) n(e))) and IC = log(N / n(e)) come from document counts over the whole corpus and whole texts.
+1 means that the term never occurs without the value. From ``GENERALISE_AT`` on, the term is replaced by a general placeholder wherever it
+stands in a document that holds the value, from ``REMOVE_AT`` on it is removed. A pair that fewer than ``SUPPORT`` documents share is no evidence. Base spans are always replaced by the name of their kind.
 
 Patterns are written so that matching is linear: possessive runs that begin only where a run can begin.
 
@@ -33,13 +33,13 @@ MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[ -]?[0-9]){13}"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"
 TERM = r"\p{L}{3,}"
-REACH, SUPPORT = 80, 5
+SUPPORT = 5
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
 SPAN = "struct<kind:string,start:bigint,stop:bigint,value:string>"
 
 
-def _places(text: Column, pattern: str, kind: Column, offset: Column) -> Column:
-    """All matches of a pattern as spans: what stands between the matches gives their places."""
+def _places(text: Column, pattern: str, kind: Column, offset: Column, keep=None) -> Column:
+    """All matches of a pattern (that ``keep`` is true for) as spans: what stands between the matches gives their places."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(offset.cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
@@ -47,7 +47,8 @@ def _places(text: Column, pattern: str, kind: Column, offset: Column) -> Column:
         begin = seen["at"] + F.char_length(pair["gap"])
         stop = begin + F.char_length(pair["match"])
         span = F.struct(kind.alias("kind"), begin.alias("start"), stop.alias("stop"), pair["match"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
+        more = F.concat(seen["spans"], F.array(span))
+        return F.struct(stop.alias("at"), (F.when(keep(pair["match"]), more).otherwise(seen["spans"]) if keep else more).alias("spans"))
 
     pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     return F.aggregate(pairs, start, step, lambda seen: seen["spans"])
@@ -86,32 +87,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(found(kind, pattern) for kind, pattern in PATTERNS.items()))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """Lower-cased terms near each base span, outside of all of them: spans of kind ``term`` with the entity they stand near."""
-    def around(s):
-        first = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))
-        right = F.substr(text, (s["stop"] + 1).cast("int"), F.lit(REACH))
-        last = s["stop"] + F.char_length(right)
-        # A term at the rim of the reach may be cut off: it counts only where the text itself begins or ends.
-        terms = F.concat(
-            F.filter(_places(left, TERM, F.lit("term"), first), lambda t: (t["start"] > first) | (first == 0)),
-            F.filter(_places(right, TERM, F.lit("term"), s["stop"]), lambda t: (t["stop"] < last) | (F.char_length(right) < REACH)))
-        outside = F.filter(terms, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-        return F.transform(outside, lambda t: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"),
-                                                        F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["stop"].alias("stop")))
-
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) over the whole corpus. ``near``: a row per document that has a protected value (row, entity, term)."""
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, held: DataFrame, text: str, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
+    """(entity, term, disclosure) over the whole corpus. ``texts``: (row, text) of documents with protected values; ``held``: (row, entity), distinct."""
+    # No pair is in more documents than its entity: only entities with enough of them are paired with terms.
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
+    frequent = held.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    both = texts.join(frequent, "row").select(F.explode("held").alias("e"), _terms(F.col("text")).alias("terms"))
+    pairs = both.select("e.entity", "e.n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(
+        F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    words = docs.select(F.explode(_terms(F.col(text))).alias("term"))
     seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # added up in each task before it is shuffled
     total = docs.count()
-    counted = pairs.join(entities, "entity").join(seen, "term")
+    counted = pairs.join(seen, "term")
     pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
     found = counted.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).filter(F.col("disclosure") >= at)
@@ -123,20 +115,26 @@ def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT) ->
 
     Returns (rows with spans, the others unchanged, the column's name). Spans: (start, place of the kind in ``KINDS``, stop, remove)."""
     maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    spans, row, near = fresh(docs, "_spans"), fresh(docs, "_row"), fresh(docs, "_near")
+    spans, row = fresh(docs, "_spans"), fresh(docs, "_row")
     found = docs.filter(maybe).withColumn(row, F.monotonically_increasing_id()).withColumn(spans, base_spans(F.col(text)))
-    found = cut(found.withColumn(near, _near(F.col(text), F.col(spans))))
-    terms = found.select(F.col(row).alias("row"), F.explode(near).alias("t")).select("row", "t.*")
-    flagged = disclosing_terms(docs, terms.select("row", "entity", "term"), text, support)
-    added = terms.join(flagged, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("disclosure").alias("disclosure")).groupBy("row").agg(
-        F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "stop", (F.col("disclosure") >= REMOVE_AT).alias("remove"))).alias("added"))
+    found = cut(found)
+    entities = F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    held = found.select(F.col(row).alias("row"), F.explode(entities).alias("entity"))
+    flagged = disclosing_terms(docs, found.select(F.col(row).alias("row"), F.col(text).alias("text")), held, text, support)
+    by_entity = flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
+    by_row = held.join(by_entity, "entity").groupBy("row").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    name = fresh(docs, "_added")
+    by_row = by_row.select(F.col("row").alias(row), F.col("terms").alias(name))
+    degree = lambda t: F.array_max(F.transform(F.filter(name, lambda x: x["term"] == F.lower(t)), lambda x: x["disclosure"]))
+    standing = _places(F.col(text), TERM, F.lit("term"), F.lit(0), lambda t: F.exists(name, lambda x: x["term"] == F.lower(t)))
+    outside = F.filter(standing, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    added = F.when(F.col(name).isNotNull(), F.transform(outside, lambda t: F.struct(
+        t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["stop"].alias("stop"), (degree(t["value"]) >= REMOVE_AT).alias("remove"))))
     place = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("kind"), s["stop"].alias("stop"), F.lit(False).alias("remove")))
-    name = fresh(docs, "_added")
-    added = added.select(F.col("row").alias(row), F.col("added").alias(name))
     kind = "array<struct<start:bigint,kind:int,stop:bigint,remove:boolean>>"
-    both = F.array_sort(F.concat(base.cast(kind), F.coalesce(F.col(name).cast(kind), F.array().cast(kind))))
-    with_spans = found.join(added, row, "left").select(*docs.columns, both.alias(spans))
+    both = F.array_sort(F.concat(base.cast(kind), F.coalesce(added.cast(kind), F.array().cast(kind))))
+    with_spans = found.join(by_row, row, "left").select(*docs.columns, both.alias(spans))
     return with_spans, docs.filter(~maybe), spans
 
 

@@ -155,6 +155,17 @@ def test_disclosing_terms(spark):
     assert "term:9:16" in spans[3] and "term:20:27" in spans[3] and spans[120] == ""
 
 
+def test_disclosing_terms_far_away(spark):
+    """A name at the head that gives away an address at the foot is found at every place, however far from it."""
+    far = "the team and number today " * 40
+    rows = [(i, f"Zorblat x{i}y {far} z@example.com {far} Zorblat") for i in range(10)] + [(100 + i, f"the team and number today x{i}y") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zorblat" not in out[i] and "[EMAIL]" in out[i] and far.strip() in out[i] for i in range(10))
+    spans = {r.doc_id: r.spans for r in pii.private_spans(docs).collect()}
+    assert spans[3].count("term:") == 2 and spans[120] == ""
+
+
 def test_private_edges(edge, nothing):
     got = pii.private_spans(edge).collect()
     assert len(got) == edge.count() and {r.doc_id for r in got if r.n_email + r.n_ip + r.n_card + r.n_phone} == {14}
