@@ -47,7 +47,7 @@ def test_copies_go(stages):
 
 
 def test_private_data_goes(stages):
-    from test_models import base
+    from test_learned import base
 
     before, after = rows(stages[3]), rows(stages[4])
     assert set(before) == set(after)
