@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from casewise.llm import bpe, chat, exact_dedup, langid, ngram_join, packing, passages, pii, quality, vafile
+from casewise.llm import bpe, chat, divergence, exact_dedup, langid, merkle, ngram_join, ngram_ratio, packing, passages, pii, quality, vafile
+from casewise.llm.audit_sql import DIVERGENCE_SQL, MERKLE_SQL, RATIO_SQL
 from casewise.llm.common import documents, held_out
 from casewise.session import configure
 
@@ -136,3 +137,18 @@ def op1(spark, folder):
 @query("op9_repeated_passages")
 def op9(spark, folder):
     return passages.repeated_passages(documents(spark, folder))
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark, folder):
+    return merkle.audit(documents(spark, folder))
+
+
+@query("op12_ngram_ratio", RATIO_SQL)
+def op12(spark, folder):
+    return ngram_ratio.judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark, folder):
+    return divergence.audit(documents(spark, folder))
