@@ -5,7 +5,6 @@ from __future__ import annotations
 import calendar
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +12,12 @@ from pyspark.sql.window import Window as W
 
 from casewise.functions import parse
 from casewise.operators import clean
+from casewise.operators.cross import pair_matrix
 from casewise.operators.order import join_same, quantiles
 
+# Blocks on either side in which data sets are paired.
+PAIR_BLOCKS = 16
+
 
 def count_distinct_exact(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """Rows, distinct values and their share in percent.
@@ -82,23 +85,11 @@ def mean_median(df: DataFrame, column: str) -> DataFrame:
     return join_same(df.agg(F.avg(column).alias("mean")), quantiles(df, column, {"median": 0.5}).select("median"), [])
 
 
-def pair_matrix(df: DataFrame, columns: Sequence[str], kind: str = "corr", nulls: str = "pairwise") -> DataFrame:
-    """Correlation or covariance of every pair as rows (var1, var2, value), from one aggregate.
-
-    ``nulls='propagate'`` gives NULL for a pair in which any value is missing.
-    """
-    make = {"corr": F.corr, "cov": F.covar_samp}[kind]
-    pairs = []
-    for a, b in combinations_with_replacement(columns, 2):
-        value = make(F.col(a).cast("double"), F.col(b).cast("double"))
-        if nulls == "propagate":
-            value = F.when(F.count_if(F.col(a).isNull() | F.col(b).isNull()) == 0, value)
-        pairs.append((a, b, value))
-    packed = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), v.alias("value")) for a, b, v in pairs]
-    upper = df.agg(F.array(*packed).alias("_all")).select(F.explode("_all").alias("_p")).select("_p.*")
-    both = F.array(F.struct("var1", "var2"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2")))
-    sides = F.when(F.col("var1") == F.col("var2"), F.slice(both, 1, 1)).otherwise(both)
-    return upper.select(F.explode(sides).alias("_s"), "value").select("_s.*", "value")
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over complete pairs; NULL if either side is constant there, which the built-in raises on."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
 def box_stats(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "hinge") -> DataFrame:
@@ -141,13 +132,15 @@ def fulfilment_rate(df: DataFrame, flag: str, minutes: Column, by: Sequence[str]
 def category_ratio(df: DataFrame, category: str, metric: Column) -> DataFrame:
     """Ratio of a metric between every two data sets.
 
-    The data sets are reduced to one row each, gathered in one row, and paired there: the result has a row for each pair anyway.
+    The data sets are reduced to one row each and dealt into ``PAIR_BLOCKS`` blocks; each pair of blocks is a join key of its own, so the
+    pairs, which are the result, are spread over the tasks.
     """
-    one = df.where(F.col(category).isNotNull()).groupBy(category).agg(metric.alias("_m"))
-    every = one.agg(F.collect_list(F.struct(F.col(category).alias("name"), F.col("_m").alias("m"))).alias("_all"))
-    pairs = every.select("_all", F.explode("_all").alias("_a")).select("_a", F.explode("_all").alias("_b"))
-    return pairs.where(F.col("_a.name") != F.col("_b.name")).select(
-        F.col("_a.name").alias("category"), F.col("_b.name").alias("other"), F.try_divide("_a.m", "_b.m").alias("ratio"))
+    one = df.where(F.col(category).isNotNull()).groupBy(category).agg(metric.alias("m"))
+    own, every = F.pmod(F.xxhash64("name"), F.lit(PAIR_BLOCKS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long")))
+    named = one.select(F.col(category).alias("name"), "m")
+    left = named.select(F.col("name").alias("category"), F.col("m").alias("m1"), own.alias("a"), every.alias("b"))
+    right = named.select(F.col("name").alias("other"), F.col("m").alias("m2"), own.alias("b"), every.alias("a"))
+    return left.join(right, ["a", "b"]).where(F.col("category") != F.col("other")).select("category", "other", F.try_divide("m1", "m2").alias("ratio"))
 
 
 def trend_by_period(df: DataFrame, epoch: str, by: Sequence[str] = (), year: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from casewise.functions.hashing import SPAN, key_hash
 from casewise.operators import order
+from casewise.operators.aggregate import correlation
 from casewise.operators.order import join_same
 from casewise.operators.rank import bucket_ntile
 
@@ -161,5 +162,6 @@ def gain_lift(df: DataFrame, key: str, label: str, score: str, groups: int = 10)
 
 
 def holdout_r2(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    r = F.corr(actual, predicted)
+    """Squared correlation; NULL if the outcome or the prediction is constant."""
+    r = correlation(actual, predicted)
     return df.agg((r * r).alias("r2"))

@@ -20,6 +20,8 @@ from casewise.functions.significance import t_two_sided
 # Up to this many columns the products are built-in aggregates; beyond, one matrix per task.
 AGGREGATE_LIMIT = 24
 ALIAS_TOLERANCE = 1e-9
+# A residual sum below this share of the response's is rounding.
+PERFECT = 1e-14
 
 
 @dataclass
@@ -45,19 +47,29 @@ class OlsFit:
     r2: float
     adj_r2: float
 
+    @property
+    def rank(self) -> int:
+        """Terms with an estimate; a predictor that earlier ones determine has none."""
+        return int(np.isfinite(self.estimate).sum())
+
     @property
     def df(self) -> float:
-        return self.n - len(self.terms)
+        return self.n - self.rank
 
     @property
     def aic(self) -> float:
-        return self.n * math.log(self.rss / self.n) + 2 * len(self.terms)
+        """Minus infinity for a perfect fit, not a number without rows."""
+        if self.n <= 0:
+            return math.nan
+        return self.n * math.log(self.rss / self.n) + 2 * self.rank if self.rss > 0 else -math.inf
 
     def t_values(self) -> list[float]:
-        return [float(b / s) for b, s in zip(self.estimate, self.std_error)]
+        """Infinite where a perfect fit leaves no error, not a number where there is no estimate or no degree of freedom."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [float(t) for t in self.estimate / self.std_error]
 
     def p_values(self) -> list[float]:
-        return [t_two_sided(t, self.df) for t in self.t_values()]
+        return [math.nan if math.isnan(t) else 0.0 if math.isinf(t) else t_two_sided(t, self.df) for t in self.t_values()]
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,36 +113,45 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
 
 
 def fit_ols(m: Moments, response: str, predictors: Sequence[str]) -> OlsFit:
-    """Least squares with intercept."""
-    x, y = m.index(predictors), m.columns.index(response)
-    gram, target = m.cross[np.ix_(x, x)], m.cross[x, y]
+    """Least squares with intercept.
+
+    Defined for every table: a predictor that is constant or a combination of earlier ones has no estimate; without degrees of freedom
+    there are no errors; a fit whose residual is rounding is perfect, its residual sum is zero; of a constant response R2 is not a number.
+    """
+    names, y = list(predictors), m.columns.index(response)
+    usable = [p for p in names if p not in aliased(m, names)]
+    x, at = m.index(usable), [1 + names.index(p) for p in usable]
+    terms = ["(Intercept)", *names]
+    estimate, std_error = np.full(len(terms), np.nan), np.full(len(terms), np.nan)
+    if m.n <= 0:
+        return OlsFit(terms, estimate, std_error, 0.0, math.nan, math.nan, math.nan)
+    gram, target, whole = m.cross[np.ix_(x, x)], m.cross[x, y], float(m.cross[y, y])
     inverse = np.linalg.inv(gram) if x else np.zeros((0, 0))
-    slopes = inverse @ target
-    rss = float(m.cross[y, y] - slopes @ target)
+    slopes, centre = inverse @ target, m.mean[x]
+    rss = whole - float(slopes @ target)
+    rss = rss if rss > PERFECT * whole else 0.0
     df = m.n - len(x) - 1
-    sigma2 = rss / df
-    centre = m.mean[x]
-    variance = np.concatenate([[1.0 / m.n + centre @ inverse @ centre], np.diag(inverse)]) * sigma2
-    r2 = 1.0 - rss / m.cross[y, y]
-    return OlsFit(
-        terms=["(Intercept)", *predictors],
-        estimate=np.concatenate([[m.mean[y] - slopes @ centre], slopes]),
-        std_error=np.sqrt(variance),
-        n=m.n,
-        rss=rss,
-        r2=r2,
-        adj_r2=1.0 - (1.0 - r2) * (m.n - 1) / df,
-    )
+    estimate[[0, *at]] = np.concatenate([[m.mean[y] - slopes @ centre], slopes])
+    if df > 0:
+        variance = np.concatenate([[1.0 / m.n + centre @ inverse @ centre], np.diag(inverse)]) * rss / df
+        std_error[[0, *at]] = np.sqrt(np.maximum(variance, 0.0))
+    r2 = 1.0 - rss / whole if whole > 0 else math.nan
+    adjusted = 1.0 - (1.0 - r2) * (m.n - 1) / df if df > 0 else math.nan
+    return OlsFit(terms, estimate, std_error, m.n, rss, r2, adjusted)
+
+
+def _number(value: float) -> float | None:
+    return None if math.isnan(value) else float(value)
 
 
 def ols_table(spark: SparkSession, fit: OlsFit) -> DataFrame:
-    """One row per term, with the fit's R2 repeated."""
+    """One row per term, with the fit's R2 repeated; NULL for what the fit doesn't determine, and no row at all without data."""
     rows = [
-        (term, float(b), float(s), t, p, float(fit.r2), float(fit.adj_r2))
+        (term, *map(_number, (b, s, t, p, fit.r2, fit.adj_r2)))
         for term, b, s, t, p in zip(fit.terms, fit.estimate, fit.std_error, fit.t_values(), fit.p_values())
     ]
     names = "term string, estimate double, std_error double, t_value double, p_value double, r2 double, adj_r2 double"
-    return spark.createDataFrame(rows, names)
+    return spark.createDataFrame(rows if fit.n > 0 else [], names)
 
 
 def linear_score(terms: Sequence[str], estimate: Sequence[float]) -> Column:
@@ -169,17 +190,22 @@ def vif_table(spark: SparkSession, factors: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(factors.items(), key=lambda kv: -kv[1]), "term string, vif double")
 
 
-def stepwise_search(predictors: Sequence[str], aic_of) -> list[tuple[int, str, str | None, float]]:
-    """Both-direction search from the full model: rows (step, action, term, aic), until nothing lowers the AIC."""
+def stepwise_search(predictors: Sequence[str], aics_of) -> list[tuple[int, str, str | None, float]]:
+    """Both-direction search from the full model: rows (step, action, term, aic), until nothing lowers the AIC.
+
+    ``aics_of`` gets all the models of a step at once and returns their AICs. Without rows there is no AIC and no trail.
+    """
     current = list(predictors)
-    best = aic_of(current)
+    (best,) = aics_of([current])
+    if math.isnan(best):
+        return []
     trail = [(0, "start", None, best)]
     while True:
         moves = [("drop", t, [c for c in current if c != t]) for t in current]
         moves += [("add", t, [c for c in predictors if c in current or c == t]) for t in predictors if t not in current]
-        scored = [(aic_of(terms), action, term, terms) for action, term, terms in moves]
-        if not scored:
+        if not moves:
             return trail
+        scored = [(aic, *move) for aic, move in zip(aics_of([terms for *_, terms in moves]), moves)]
         aic, action, term, terms = min(scored, key=lambda s: s[0])
         if aic >= best - 1e-9:
             return trail
@@ -191,7 +217,7 @@ def stepwise_aic(m: Moments, response: str, predictors: Sequence[str]) -> list[t
     """Stepwise search for least squares; all candidates come from the same cross products."""
     dropped = aliased(m, predictors)
     usable = [p for p in predictors if p not in dropped]
-    return stepwise_search(usable, lambda terms: fit_ols(m, response, terms).aic)
+    return stepwise_search(usable, lambda models: [fit_ols(m, response, terms).aic for terms in models])
 
 
 def eliminate(predictors: Sequence[str], examine, max_vif: float = 5.0, max_p: float = 0.05) -> list[tuple[int, str, str, float, float]]:
@@ -224,6 +250,7 @@ def backward_eliminate(m: Moments, response: str, predictors: Sequence[str], **l
 
     def examine(terms):
         fit = fit_ols(m, response, terms)
-        return vif(m, terms), dict(zip(fit.terms[1:], fit.p_values()[1:]))
+        # A p-value that the table doesn't determine is no reason to drop a term.
+        return vif(m, terms), {t: 0.0 if math.isnan(p) else p for t, p in zip(fit.terms[1:], fit.p_values()[1:])}
 
     return eliminate(usable, examine, **limits)

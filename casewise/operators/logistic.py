@@ -1,13 +1,17 @@
-"""Binomial regression on Spark ML, with its diagnostics and selection loops."""
+"""Binomial regression: single fits on Spark ML; selection loops fit all models of a step in one job per Newton pass."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ class LogisticFit:
     std_error: list[float]
     p_value: list[float]
     aic: float
+    vif: dict[str, float] | None = None
 
 
 def fit_logistic(rows: DataFrame, label: str, predictors: Sequence[str], tol: float = 1e-8) -> LogisticFit:
@@ -81,30 +86,101 @@ def logistic_vif(rows: DataFrame, fit: LogisticFit) -> dict[str, float]:
     return dict(zip(predictors, np.diag(np.linalg.inv(inner / np.outer(spread, spread))).tolist()))
 
 
+def fit_many(rows: DataFrame, label: str, models: Sequence[Sequence[str]], tol: float = 1e-16, passes: int = 50) -> list[LogisticFit]:
+    """Maximum likelihood fits of many models on the same complete rows, all in one job per Newton pass.
+
+    A pass adds up, on the executors, each model's log-likelihood, gradient and weighted cross products at its current estimate: k * k + k + 1 numbers
+    a model and task, whatever the number of rows. Models that have converged drop out.
+    Where a step lowers the likelihood it is halved. VIFs come from the same cross products.
+    """
+    models = [list(m) for m in models]
+    columns = list(dict.fromkeys(c for m in models for c in m))
+    data = rows.select(label, *columns)
+    at = [[0, *[1 + columns.index(c) for c in m]] for m in models]
+    trial = [np.zeros(1 + len(m)) for m in models]
+    best = [None] * len(models)  # log-likelihood, estimate, gradient, information
+    active = list(range(len(models)))
+    for _ in range(passes):
+        if not active:
+            break
+        going = []
+        for i, (ll, gradient, information) in zip(active, _newton_sums(data, [(at[i], trial[i]) for i in active])):
+            if best[i] is not None and not ll >= best[i][0] - 1e-10 * (1 + abs(best[i][0])):
+                trial[i] = (best[i][1] + trial[i]) / 2
+                going.append(i)
+                continue
+            best[i] = (ll, trial[i], gradient, information)
+            step = _solve(information, gradient)
+            trial[i] = trial[i] + step
+            if gradient @ step > tol * (1 + abs(ll)):  # what the step is expected to gain
+                going.append(i)
+        active = going
+    return [_described(m, *best[i]) for i, m in enumerate(models)]
+
+
+def _newton_sums(data: DataFrame, models: list[tuple[list[int], np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Log-likelihood, gradient and information of each (columns, estimate); column 0 is the intercept."""
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros(1 + len(b) + len(b) ** 2) for _, b in models]
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            y, x = values[:, 0], np.column_stack([np.ones(len(values)), values[:, 1:]])
+            for total, (at, b) in zip(sums, models):
+                own = x[:, at]
+                eta = own @ b
+                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                total[0] += (y * eta - np.logaddexp(0, eta)).sum()
+                total[1 : 1 + len(b)] += own.T @ (y - p)
+                total[1 + len(b) :] += (own.T @ (own * (p * (1 - p))[:, None])).ravel()
+        yield pd.DataFrame({"model": np.arange(len(models), dtype="int32"), "sums": sums})
+
+    added = data.mapInPandas(add_up, "model int, sums array<double>").groupBy("model").agg(Summarizer.sum(array_to_vector("sums")).alias("s"))
+    found = {r["model"]: r["s"].toArray() for r in added.collect()}  # k * k + k + 1 numbers a model
+    out = []
+    for i, (_, b) in enumerate(models):
+        k, total = len(b), found.get(i, np.zeros(1 + len(b) + len(b) ** 2))
+        out.append((float(total[0]), total[1 : 1 + k], total[1 + k :].reshape(k, k)))
+    return out
+
+
+def _solve(information: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """The Newton step, on columns brought to the same scale; directions without information are left alone."""
+    scale = np.sqrt(np.maximum(np.diag(information), 0.0))
+    scale[scale == 0] = 1.0
+    return np.linalg.lstsq(information / np.outer(scale, scale), gradient / scale, rcond=1e-13)[0] / scale
+
+
+def _described(predictors: list[str], ll: float, estimate: np.ndarray, gradient: np.ndarray, information: np.ndarray) -> LogisticFit:
+    scale = np.sqrt(np.maximum(np.diag(information), 0.0))
+    scale[scale == 0] = 1.0
+    covariance = np.linalg.pinv(information / np.outer(scale, scale), rcond=1e-13) / np.outer(scale, scale)
+    errors = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+    p = [math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else math.nan for b, s in zip(estimate, errors)]
+    inner = covariance[1:, 1:]
+    spread = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    factors = np.diag(np.linalg.pinv(inner / np.outer(spread, spread))) if len(predictors) > 1 else np.ones(len(predictors))
+    return LogisticFit(["(Intercept)", *predictors], estimate.tolist(), errors.tolist(), p, -2 * ll + 2 * len(estimate), dict(zip(predictors, factors.tolist())))
+
+
 def stepwise_aic_logistic(rows: DataFrame, label: str, predictors: Sequence[str]):
-    """Both-direction AIC search without aliased predictors; the complete rows are cached for the refits."""
+    """Both-direction AIC search without aliased predictors; a step's candidates are fitted together. The complete rows are cached."""
     data = complete_rows(rows, [label, *predictors]).persist()
     usable = _independent(data, predictors)
-    known: dict[tuple, float] = {}
+    known: dict[tuple, LogisticFit] = {}
 
-    def aic_of(terms):
-        key = tuple(terms)
-        if key not in known:
-            known[key] = fit_logistic(data, label, terms).aic if terms else _null_aic(data, label)
-        return known[key]
+    def aics_of(models):
+        new = [m for m in models if tuple(m) not in known]
+        for terms, fit in zip(new, fit_many(data, label, new) if new else []):
+            known[tuple(terms)] = fit
+        return [known[tuple(m)].aic for m in models]
 
     try:
-        return stepwise_search(usable, aic_of)
+        return stepwise_search(usable, aics_of) if data.limit(1).count() else []
     finally:
         data.unpersist()
 
 
-def _null_aic(rows: DataFrame, label: str) -> float:
-    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("p")).first()
-    n, p = one["n"], one["p"]
-    return float(-2 * n * (p * np.log(p) + (1 - p) * np.log(1 - p)) + 2)
-
-
 def _independent(rows: DataFrame, predictors: Sequence[str]) -> list[str]:
     """Predictors that are no linear combination of earlier ones; Spark gives no errors for aliased fits."""
     dropped = aliased(moments(rows, predictors), predictors)
@@ -112,12 +188,12 @@ def _independent(rows: DataFrame, predictors: Sequence[str]) -> list[str]:
 
 
 def backward_eliminate_logistic(rows: DataFrame, label: str, predictors: Sequence[str], **limits):
-    """Backward elimination by VIF and p-value, without aliased predictors."""
+    """Backward elimination by VIF and p-value, without aliased predictors; p and VIF of a step come from one fit."""
     data = complete_rows(rows, [label, *predictors]).persist()
 
     def examine(terms):
-        fit = fit_logistic(data, label, terms)
-        return logistic_vif(data, fit), dict(zip(fit.terms[1:], fit.p_value[1:]))
+        (fit,) = fit_many(data, label, [terms])
+        return fit.vif, dict(zip(fit.terms[1:], fit.p_value[1:]))
 
     try:
         return eliminate(_independent(data, predictors), examine, **limits)

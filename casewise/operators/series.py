@@ -20,9 +20,10 @@ def regular_series(df: DataFrame, series: str, month: str, value: str, fill: flo
 
     ``ahead`` adds that many months after the last one, with a NULL value. The input has one row per
     (series, month), so a series packs into one map no longer than its calendar and needs no join.
+    Rows without a month have no place in a calendar; ``undated_rows`` counts them.
     """
     step = F.make_ym_interval(months=F.lit(1))
-    packed = df.groupBy(series).agg(
+    packed = df.where(F.col(month).isNotNull()).groupBy(series).agg(
         F.min(month).alias("_from"), F.max(month).alias("_to"),
         F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_have"),
     )
@@ -32,6 +33,11 @@ def regular_series(df: DataFrame, series: str, month: str, value: str, fill: flo
     return points.select(series, month, (F.col("_i") + 1).cast("long").alias("t"), known.alias(value))
 
 
+def undated_rows(df: DataFrame, series: str, month: str) -> DataFrame:
+    """Rows per series whose month is missing; series without such rows are absent."""
+    return df.where(F.col(month).isNull()).groupBy(series).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def exponential_smoothing(df: DataFrame, series: str, t: str, value: str, alphas: Sequence[float]) -> DataFrame:
     """One-step-ahead level per point and smoothing constant; NULL for the first point of a series.
 

@@ -131,6 +131,25 @@ def _(spark, folder):
     return tidy(agg.pair_matrix(lens.loan(spark, folder), LOAN_PAIRS, "corr"))
 
 
+# Each vector as columns: its values, the values with gaps, and products of neighbours. SQL works out the pairs of four of them.
+WIDE_WIDTH, WIDE_SHOWN = 64, ["p0", "p7", "g3", "q5"]
+_WIDE_COLUMNS = [f"{kind}{i}" for kind in "pgq" for i in range(WIDE_WIDTH)]
+
+
+def _wide_sql(name):
+    i = int(name[1:])
+    value = f"pixels[{i + 1}]"
+    return {"p": value, "g": f"CASE WHEN (vec_id + {i}) % 7 <> 0 THEN {value} END", "q": f"{value} * pixels[{(i + 1) % WIDE_WIDTH + 1}]"}[name[0]]
+
+
+@query("corr_matrix_wide", "vec", " UNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({_wide_sql(a)}, {_wide_sql(b)}), 6) + 0.0 AS value FROM vec" for a in WIDE_SHOWN for b in _WIDE_COLUMNS))
+def _(spark, folder):
+    wide = lens.vec(spark, folder).selectExpr(*[
+        f"{_wide_sql(c)} AS {c}".replace("pixels[", "element_at(pixels, ").replace("]", ")") for c in _WIDE_COLUMNS])
+    return tidy(agg.pair_matrix(wide, _WIDE_COLUMNS).where(F.col("var1").isin(WIDE_SHOWN)))
+
+
 @query("cov_matrix", "loan", _pair_sql("covar_samp", ["annual_inc", "installment", "delinq"], 3))
 def _(spark, folder):
     return tidy(agg.pair_matrix(lens.loan(spark, folder), ["annual_inc", "installment", "delinq"], "cov"), 3)
@@ -226,8 +245,8 @@ def _(spark, folder):
     middle = F.when((words > 5) & (words < 1000), words)
     return tidy(rated.groupBy("category").agg(
         F.avg("helpful_percent").alias("mean_helpful"),
-        F.corr(words, "helpful_percent").alias("corr_all"),
-        F.corr(middle, "helpful_percent").alias("corr_mid"),
+        agg.correlation(words, "helpful_percent").alias("corr_all"),
+        agg.correlation(middle, "helpful_percent").alias("corr_mid"),
     ))
 
 
