@@ -7,16 +7,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 from pyspark.sql.window import Window as W
 
 from casewise.session import stage
 
-# Each round cuts a range at so many quantiles; two rounds leave one of CELLS ** 2 parts of a group's distinct values.
+# A first sketch cuts a group at so many quantiles, each off by at most 1 / SKETCH of its rows; bounds leave five times that.
+CUTS, SKETCH = 1000, 10_000
+# The distinct values between two bounds are then cut into CELLS parts, ROUNDS times.
 CELLS = 64
-ROUNDS = 2
+ROUNDS = 1
 ROW_BITS = 33
 
 
@@ -36,35 +40,85 @@ def join_same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame
 def order_values(df: DataFrame, value: str, wanted: Callable[[Column], dict[str, Column]], by: Sequence[str] = ()) -> DataFrame:
     """The values at given 1-based ranks, per group: columns ``by``, ``n`` and the wanted names, in the type of ``value``.
 
-    Rows are first reduced to distinct values with counts. Each round then sketches the quantiles of the distinct values that may
-    still hold a wanted rank, counts exactly what falls between the cut points, and keeps the cells that are hit. So a group of any
-    size is spread over all tasks, wherever its values lie, and only the last few cells are sorted. NaN is the largest value.
+    A sketch gives two bounds around each rank. One pass then counts the rows below the bounds, exactly, and only values in between
+    leave their task: well under a hundredth of a large group, whatever its share of the rows and wherever its values lie. The ranks among
+    the values in between are exact, as all others are on a known side; they are found by cutting ranges of distinct values into cells, so
+    not even what is in between is sorted in one task. NaN is the largest value.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    # Bounds are doubles, whatever the type: the cast keeps the order, and values that it makes equal are on the same side.
+    place = (F.unix_date("_v") if isinstance(rows.schema["_v"].dataType, DateType) else F.col("_v")).cast("double")
+    # The sketch is of the numbers alone; ranks beyond them are NaN, above the last cut.
+    number = F.when(~F.isnan(place), place)
+    cuts = F.percentile_approx(number, [i / CUTS for i in range(1, CUTS)], SKETCH).alias("_cuts")
+    spans = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("_m"), cuts)
     targets = wanted(F.col("n"))
-    asked = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in targets.items()])
+    names = list(targets)
+
+    def cut(at: Column) -> Column:
+        """The cut number ``at``; NULL beyond either end, which bounds nothing."""
+        return F.when((at >= 1) & (at < CUTS), F.get("_cuts", at.cast("int") - 1))
+
+    def low(at: Column) -> Column:
+        return cut(F.least(at, F.lit(CUTS - 1)))
+
+    bounds = []
+    for k, rank in enumerate(targets.values()):
+        share, margin = F.try_divide(rank.cast("double"), F.col("_m")), 5.0 / SKETCH
+        bounds += [rank.cast("long").alias(f"_r{k}"), low(F.floor((share - margin) * CUTS)).alias(f"_lo{k}"), cut(F.ceil((share + margin) * CUTS)).alias(f"_hi{k}")]
+    spans = stage(spans.select(*by, "n", *bounds), "bounds")
+
+    ks = range(len(names))
+    below = lambda k: F.coalesce(place < F.col(f"_lo{k}"), F.lit(False))
+    above = lambda k: F.coalesce(place > F.col(f"_hi{k}"), F.lit(False))
+    inside = reduce(lambda x, y: x | y, [~below(k) & ~above(k) for k in ks])
+    marked = join_same(rows, spans, by).select(*by, F.when(inside, F.col("_v")).alias("_v"), *[(below(k) & ~inside).alias(f"_b{k}") for k in ks],
+        F.when(inside, reduce(lambda x, y: x + y, [above(k).cast("int") for k in ks])).alias("_cell0"))  # upper bounds passed
+    reduced = marked.groupBy(*by, "_v", "_cell0").agg(F.count(F.lit(1)).alias("_c"), *[F.count_if(f"_b{k}").alias(f"_b{k}") for k in ks])
+    reduced = stage(reduced, "between")
+
+    outside = reduced.where(F.col("_v").isNull()).select(*by, *[f"_b{k}" for k in ks])
+    known = outside.select(*by, *[F.col(f"_b{k}").alias(f"_o{k}") for k in ks])
+    between = reduced.where(F.col("_v").isNotNull()).select(*by, "_v", "_c", "_cell0")
+    ranked = _with_outside(spans, known, by, ks)
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (F.col(f"_r{k}") - F.col(f"_o{k}")).alias("rank"), F.col(f"_lo{k}").alias("lo"), F.col(f"_hi{k}").alias("hi")) for k, name in enumerate(names)])
+    asked = ranked.select(*by, "n", asked.alias("_asked"))
     upto = F.col("_upto")
 
     def hit(size):
         """The asked ranks that fall into the last ``size`` positions before ``_upto``."""
         return F.filter("_asked", lambda w: (w["rank"] <= upto) & (w["rank"] > upto - size))
 
-    found = _narrow(rows, by, asked, hit)
-    picks = [F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in targets]
+    found = _narrow(between, asked, by, hit)
+    beyond = F.coalesce((place < F.col("_w.lo")) | (place > F.col("_w.hi")), F.lit(False))
+    value_of = F.when(beyond, F.raise_error(F.lit("a sketch was further off than it states"))).otherwise(F.col("_v"))
+    picks = [F.max(F.when(F.col("_w.name") == name, value_of)).alias(name) for name in names]
     return found.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
-def _narrow(rows: DataFrame, by: list[str], asked: Column, hit: Callable) -> DataFrame:
-    """Find the asked ranks by cutting ranges into cells at sketched quantiles, ``ROUNDS`` times."""
+def _with_outside(spans: DataFrame, known: DataFrame, by: list[str], ks: Sequence[int]) -> DataFrame:
+    """``spans`` with the rows known to be below each rank's bounds; none for a group whose rows all lie in between."""
+    if by:
+        renamed = known.withColumnsRenamed({c: f"_k_{c}" for c in by})
+        on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
+        joined = spans.join(renamed, on, "left")
+    else:
+        # One row or none: an aggregate always gives one.
+        joined = join_same(spans, known.agg(*[F.max(f"_o{k}").alias(f"_o{k}") for k in ks]), by)
+    return joined.withColumns({f"_o{k}": F.coalesce(f"_o{k}", F.lit(0)) for k in ks})
+
+
+def _narrow(rows: DataFrame, asked: DataFrame, by: list[str], hit: Callable) -> DataFrame:
+    """Find the asked ranks: count the values of each ``_cell0``, keep those cells that are hit, and cut them again at sketched quantiles, ``ROUNDS`` times."""
     cuts = F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10 * CELLS).alias("_cuts")
-    stats = rows.groupBy(*by).agg(cuts, F.sum("_c").alias("n"))
-    spans = stats.select(*by, "n", "_cuts", F.lit(0).cast("long").alias("_before"), asked.alias("_asked"))
+    spans = asked.select(*by, "n", F.lit(0).cast("long").alias("_before"), "_asked")
     upto, path = F.col("_upto"), []
-    for depth in range(ROUNDS):
+    for depth in range(1 + ROUNDS):
         here, name = by + path, f"_cell{depth}"
-        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-        rows = join_same(rows, spans.select(*here, "_cuts"), here).withColumn(name, cell).drop("_cuts")
+        if depth:
+            cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+            rows = join_same(rows, spans.select(*here, "_cuts"), here).withColumn(name, cell).drop("_cuts")
         totals = rows.groupBy(*here, name).agg(F.sum("_c").alias("_size"), cuts)
         running = F.sum("_size").over(W.partitionBy(*here).orderBy(name))
         totals = join_same(totals, spans.select(*here, "n", "_before", "_asked"), here)

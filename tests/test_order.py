@@ -97,3 +97,36 @@ def test_final_windows_are_small_on_long_tails(spark):
     cells = df.select("v").distinct().join(cuts).groupBy(F.size(F.filter("c", lambda c: c < F.col("v")))).count()
     assert cells.agg(F.max("count")).first()[0] < 3 * len(values) / order.CELLS
     assert order.quantiles(df, "v", {"m": 0.5}).first()["m"] == pytest.approx(float(np.median(values)))
+
+
+def test_order_values_of_many_shapes(spark):
+    """Every rank that is asked, for groups of one row to thousands, all ties, long tails and whole numbers beyond doubles."""
+    rng = np.random.default_rng(8)
+    shapes = {"ties": [5] * 3000, "two": [1, 2] * 700, "big": [2**61 + i for i in range(2500)], "tail": [int(v) for v in np.exp(rng.uniform(0, 40, 6000))], "one": [7], "few": [3, 1, 2]}
+    rows = [(g, int(v)) for g, values in shapes.items() for v in values] + [(None, 4), ("ties", None)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(9)
+    shares = {"first": 0.0, "a": 0.013, "b": 0.25, "c": 0.2504, "d": 0.77, "last": 1.0}
+    got = order.order_values(df, "v", lambda n: {k: F.greatest(F.ceil(n * F.lit(p)), F.lit(1)) for k, p in shares.items()}, ["g"]).collect()
+    assert {r["g"] for r in got} == {*shapes, None}
+    for r in got:
+        values = sorted(v for g, v in rows if g == r["g"] and v is not None)
+        assert r["n"] == len(values)
+        for k, p in shares.items():
+            assert r[k] == values[max(int(np.ceil(len(values) * p)), 1) - 1], (r["g"], k)
+    assert order.order_values(df.limit(0), "v", lambda n: {"m": n}, ["g"]).count() == 0
+    assert order.order_values(df.limit(0), "v", lambda n: {"m": n}).first()["m"] is None
+
+
+def test_only_values_in_between_move(spark, tmp_path):
+    """Of 200,000 different values under one percent are kept for three ranks, and dates and decimals work too."""
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).cast("double").alias("v"))
+    seen, stage = [], order.stage
+    try:
+        order.stage = lambda d, label: seen.append((label, stage(d, label))) or seen[-1][1]
+        assert order.quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()["b"] == pytest.approx(df.toPandas().v.median())
+    finally:
+        order.stage = stage
+    assert dict(seen)["between"].count() < 2000
+    days = spark.sql("SELECT date_add(DATE'2020-01-01', CAST(id AS INT)) AS d, CAST(id AS DECIMAL(30, 3)) / 8 AS x FROM range(1001)")
+    assert str(order.order_values(days, "d", lambda n: {"m": F.floor((n + 1) / 2)}).first()["m"]) == "2021-05-15"
+    assert float(order.order_values(days, "x", lambda n: {"m": F.floor((n + 1) / 2)}).first()["m"]) == 62.5
