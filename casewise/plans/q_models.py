@@ -9,6 +9,7 @@ from casewise.operators import linear, logistic, reduce
 from casewise.plans import lenses as lens
 from casewise.plans.registry import query
 from casewise.plans.shape import tidy
+from casewise.session import stage
 
 SEED = 100
 HASH_SQL = "('0x' || substr(md5('100:' || {key}), 1, {digits}))::UBIGINT"
@@ -17,8 +18,9 @@ RISK_PREDICTORS = ["price", "income", "tenure", "priority", "span"]
 
 
 def _width(spark, folder) -> int:
-    """Values in a vector."""
-    return lens.vec(spark, folder).agg(F.max(F.size("pixels"))).first()[0]
+    """Values in a vector; all vectors have the same."""
+    first = lens.vec(spark, folder).where(F.col("pixels").isNotNull()).select(F.size("pixels")).first()
+    return first[0] if first else 0
 
 
 # ---------------------------------------------------------------- splits
@@ -366,7 +368,8 @@ def _kernel_vectors(spark, folder):
 
 @query("kernel_classifier")
 def _(spark, folder):
-    rows = _kernel_vectors(spark, folder).drop("pixels")
+    # Split and features are used by every iteration and by the scoring; they are worked out once.
+    rows = stage(_kernel_vectors(spark, folder).select("digit", "is_train", "_features"), "features")
     train = rows.where("is_train")
     model = reduce.kernel_classifier(train, "digit", train.count(), cost=2.0)
     called = model.transform(rows.where("NOT is_train")).select("digit", F.col("prediction").cast("long").alias("predicted"))
