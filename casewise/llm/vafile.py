@@ -11,7 +11,8 @@ vector that a third of all rows share costs no more than any other.
 The queries are a stated set, and every query block meets every block of the file: work is queries x classes, in blocks of fixed
 size. Vectors that are null, empty, or hold null or non-finite components take no part; vectors of another length are not compared with a
 query. Equal scores go to the smaller id. Rows with a null id are no candidates; equal rows count once; if an id is repeated with other
-vectors, each is a candidate and the largest vector is the query. Scores are 64-bit; components must stay below 2^24 in size.
+vectors, each is a candidate and the largest vector is the query. Components beyond ``LARGEST`` in size count as ``LARGEST``. Scores are exact and
+ranked as such, whatever their size; one that no 64-bit number holds is given as null.
 """
 
 from __future__ import annotations
@@ -26,13 +27,26 @@ from casewise.llm.common import cut
 
 SCALE, TOP = 64, 20
 CELLS = 256  # a byte for each dimension; whole numbers that span less have a cell each, so their bounds are exact
+LARGEST = 1 << 56
+ROUNDING = 2.0**-46  # of the largest possible score, on either side of a bound that floating point works out
 BLOCK_ROWS, QUERY_ROWS, CHUNK = 65_536, 1024, 2048
 
 
 def whole_vector(vector: Column) -> Column:
     """``floor(64 x)`` per component; null unless all components are finite numbers."""
     fine = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("int")))
+    whole = lambda x: F.greatest(F.least(F.floor(x.cast("double") * SCALE), F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, whole))
+
+
+def inner_product(a: Column, b: Column) -> Column:
+    """Exact, as a decimal; summed in 64 bits where that is certain to hold it."""
+    greatest = lambda v: F.array_max(F.transform(v, F.abs)).cast("double")
+    wide = "decimal(38,0)"
+    in_long = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x).cast(wide)
+    in_decimal = F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x.cast("decimal(18,0)") * y.cast("decimal(18,0)")).cast(wide)), F.lit(0).cast(wide), lambda s, x: (s + x).cast(wide))
+    return F.when(greatest(a) * greatest(b) * F.size(a) < 2.0**62, in_long).otherwise(in_decimal)
 
 
 def classes(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -72,7 +86,7 @@ def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": rows["n"].iloc[:1], "group": rows["group"].iloc[:1], "queries": [rows["query"].to_numpy(np.int64).tobytes()],
-                             "points": [np.array(rows["q"].tolist(), np.int32).tobytes()]})
+                             "points": [np.array(rows["q"].tolist(), np.int64).tobytes()]})
 
     dealt = queries.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(count)).cast("int"))
     return dealt.groupBy("n", "group").applyInPandas(pack, "n int, group int, queries binary, points binary"), count
@@ -90,6 +104,7 @@ def scan(points: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarr
         first = low + part * width
         middle, radius = (first + (width - 1) / 2).T, np.broadcast_to((width - 1) / 2, part.shape).T
         centre, reach = exact @ middle, size @ radius
+        reach = reach + size @ (np.maximum(np.abs(first), np.abs(first + width)).T * ROUNDING)
         lower, upper = centre - reach, centre + reach
         both = np.concatenate([best, lower], axis=1)
         best = -np.partition(-both, k - 1, axis=1)[:, :k]
@@ -111,7 +126,7 @@ def candidates(file: DataFrame, queries: DataFrame, marks: dict, k: int) -> Data
         for frame in frames:
             for row in frame.itertuples(index=False):
                 low, width = marks[int(row.n)]
-                points = np.frombuffer(row.points, np.int32).reshape(-1, row.n)
+                points = np.frombuffer(row.points, np.int64).reshape(-1, row.n)
                 q, v, lower, upper = scan(points, np.frombuffer(row.cells, np.uint8).reshape(-1, row.n), low, width, k)
                 yield pd.DataFrame({"query": np.frombuffer(row.queries, np.int64)[q], "class": np.frombuffer(row.classes, np.int64)[v],
                                     "lower": lower, "upper": upper})
@@ -134,15 +149,13 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     near = near.filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
     near = cut(near.select("query", "class", "upper", F.row_number().over(by_query.orderBy(F.col("upper").desc(), "class")).alias("turn")))
 
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda a, b: a + b)
-
     def read(chosen: DataFrame) -> DataFrame:
-        return chosen.join(found.select("class", "n", "v", "ids"), "class").join(queries, ["query", "n"]).select("query", "ids", product.alias("score"))
+        return chosen.join(found.select("class", "n", "v", "ids"), "class").join(queries, ["query", "n"]).select("query", "ids", inner_product(F.col("q"), F.col("v")).alias("score"))
 
     first = cut(read(near.filter(F.col("turn") <= 2 * (k + 1)).select("query", "class")))
     certain = first.withColumn("place", F.row_number().over(by_query.orderBy(F.col("score").desc()))).filter(F.col("place") == k + 1)
-    later = near.filter(F.col("turn") > 2 * (k + 1)).join(certain.select("query", F.col("score").alias("reached")), "query").filter(F.col("upper") >= F.col("reached"))
+    later = near.filter(F.col("turn") > 2 * (k + 1)).join(certain.select("query", F.col("score").alias("reached")), "query").filter(F.col("upper") >= F.col("reached").cast("double"))
     scored = first.unionByName(read(later.select("query", "class")))
     each = scored.select("query", "score", F.explode("ids").alias("id")).filter(F.col("id") != F.col("query"))
     ranked = each.withColumn("rank", F.row_number().over(by_query.orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.expr("try_cast(score AS bigint)").alias("score"))

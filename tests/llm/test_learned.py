@@ -232,3 +232,29 @@ def test_scan_keeps_the_best():
     assert ((lower <= exact[rows, cols]) & (exact[rows, cols] <= upper)).all()
     for i in range(len(q)):
         assert set(np.argsort(-exact[i], kind="stable")[:4]) <= set(cols[rows == i]) and (rows == i).sum() < 500
+
+
+@pytest.mark.parametrize("size", [1e9, 3e13, 1e300])
+def test_top_k_of_large_components(spark, size):
+    """Finite components of any size: products beyond 64 bits are ranked exactly, also where doubles would tie."""
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(size * rng.choice([-1, 1, 0.5])), float(rng.integers(-3, 4)), float(size) if i % 3 else 1.0 / 64]) for i in range(60)]
+    vectors += [(200 + i, [float(x) for x in rng.normal(size=3)]) for i in range(40)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    bound = vafile.LARGEST
+    whole = {i: [max(-bound, min(bound, int(np.floor(min(max(x * 64, -2.0**60), 2.0**60))))) for x in v] for i, v in vectors}
+    got = defaultdict(list)
+    for r in vafile.top_k(frame, F.col("vec_id") % 5 == 0, k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, v in whole.items():
+        if q % 5 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, o)), i) for i, o in whole.items() if i != q)[:7]
+            assert got[q] == [(i, -s if abs(s) < 2**63 else None) for s, i in want]
+
+
+def test_top_k_of_nothing_and_of_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], 1, "x", 2) for i in range(8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class int, query string, rank int")
+    plain = vafile.top_k(frame.select("vec_id", "embedding"), F.col("vec_id") == 3, k=3).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, vafile.top_k(frame, F.col("vec_id") == 3, k=3).collect())) and len(plain) == 3
+    assert vafile.top_k(frame.limit(0), F.col("vec_id") == 3).count() == 0
