@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewise.operators import rank
+from casewise.operators import arma, rank
 from casewise.operators import series as ts
 from casewise.plans import lenses as lens
 from casewise.plans.lens_sql import LENS_SQL
@@ -168,6 +168,49 @@ def _(spark, folder):
     return _accuracy(marked.where(~F.col("is_train")).join(ahead.drop("month"), ["series", "t"]))
 
 
+# ARMA(1, 1) of the seasonal difference by two regressions on two regressors each, in closed form.
+TWO_SQL = """
+    {name} AS (SELECT series, avg({y}) - b1 * avg({a}) - b2 * avg({b}) AS b0, any_value(b1) AS b1, any_value(b2) AS b2 FROM {rows} JOIN (
+        SELECT series, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS b1, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS b2 FROM (
+            SELECT series, var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab, covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS yb
+            FROM {rows} WHERE {y} + {a} + {b} IS NOT NULL GROUP BY series)) USING (series) WHERE {y} + {a} + {b} IS NOT NULL GROUP BY series, b1, b2)"""
+ARMA_SQL = """
+    WITH RECURSIVE diffs AS (SELECT series, month, t, value, value - lag(value, 12) OVER (PARTITION BY series ORDER BY t) AS d FROM series),
+    lags AS (SELECT *, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM diffs WINDOW w AS (PARTITION BY series ORDER BY t)),
+    """ + TWO_SQL.format(name="long", rows="lags", y="d", a="d1", b="d2") + """,
+    shocks AS (SELECT lags.*, d - (b0 + b1 * d1 + b2 * d2) AS e FROM lags LEFT JOIN long USING (series)),
+    past AS (SELECT *, lag(e) OVER (PARTITION BY series ORDER BY t) AS e1 FROM shocks),
+    """ + TWO_SQL.format(name="model", rows="past", y="d", a="d1", b="e1") + """,
+    ends AS (SELECT series, max(t) AS last, max(month) AS m FROM series GROUP BY series),
+    path AS (SELECT series, 0 AS h, d, e FROM shocks JOIN ends USING (series) WHERE t = last
+             UNION ALL SELECT series, h + 1, b0 + b1 * d + b2 * e, 0.0::DOUBLE FROM path JOIN model USING (series) WHERE h < 6)
+    SELECT series, CAST(m + to_months(h) AS DATE) AS month, last + h AS t, round(d + x.value, 2) + 0.0 AS forecast
+    FROM path JOIN ends USING (series) JOIN series x USING (series)
+    JOIN model USING (series) WHERE h > 0 AND x.t = last + h - 12 AND abs(b1) < 0.99 AND abs(b2) < 0.99"""
+
+
+@query("arma_forecast", SERIES, ARMA_SQL)
+def _(spark, folder):
+    """One order, fitted and iterated six months ahead."""
+    ahead = arma.search_forecast(lens.series(spark, folder), "series", "month", "t", "value", HOLDOUT, 1, 1, long=2, only=(1, 1))
+    return tidy(ahead.drop("p", "q"), 2)
+
+
+@query("arma_order_search")
+def _(spark, folder):
+    """Every order up to (2, 2) of every series, with its AIC."""
+    models = arma.search_orders(arma.shocks(lens.series(spark, folder), "series", "t", "value"), "series", "t")
+    return tidy(models.select("series", "p", "q", "n", "aicc", "chosen"), 4)
+
+
+@query("arma_search_accuracy")
+def _(spark, folder):
+    """Held-out errors of the chosen orders; to compare with ``seasonal_ar_accuracy``."""
+    marked = ts.holdout_last_k(lens.series(spark, folder), "series", "t", HOLDOUT)
+    ahead = arma.search_forecast(marked.where("is_train"), "series", "month", "t", "value", HOLDOUT)
+    return _accuracy(marked.where(~F.col("is_train")).join(ahead.drop("month"), ["series", "t"]))
+
+
 QUANTITY_SQL = f"""
     WITH monthly AS ({LENS_SQL["monthly"].replace("sum(sales)", "sum(quantity)")}),
     series AS ({LENS_SQL["series"]}),
