@@ -11,6 +11,9 @@ from pyspark.sql.types import NumericType
 from casewise.operators import order
 from casewise.operators.order import join_same
 
+# Values of a column that may become columns without being named.
+MOST_LEVELS = 1000
+
 
 def drop_blank_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are all neither NULL nor blank."""
@@ -118,9 +121,31 @@ def row_slice(df: DataFrame, order_by: Sequence[Column], skip: int = 0, every: i
     return ranked.where((place > 0) & ((place - 1) % every == 0)).drop("_position")
 
 
-def levels(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-NULL values, for results that have a column for each."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+def levels(df: DataFrame, column: str, at_most: int = MOST_LEVELS) -> list:
+    """Sorted distinct non-NULL values, for results that have a column for each.
+
+    More than ``at_most`` values are refused before they reach the driver: such a column wants ``level_index`` or a stated list.
+    """
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(at_most + 1).collect()
+    if len(found) > at_most:
+        raise ValueError(f"{column} has more than {at_most} values; use level_index, or name the values")
+    return sorted(r[0] for r in found)
+
+
+def level_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(``column``, ``index``): the non-NULL values in their order, from 0; a range sort, however many they are."""
+    known = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return order.rank_rows(known, [F.col(column)], "index").withColumn("index", F.col("index") - 1)
+
+
+def level_index(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Indicators of any number of levels in one column: the level's index, 0 for the baseline that indicator columns leave out, NULL for NULL.
+
+    It is the sparse form of ``one_hot_drop_first``: index j is a 1 in its j-th column.
+    """
+    places = level_dictionary(df, column).select(F.col(column).alias("_level"), F.col("index").alias("_index"))
+    joined = df.join(places, F.col(column) == F.col("_level"), "left")
+    return joined.withColumn(name or f"{column}_index", F.col("_index")).drop("_level", "_index")
 
 
 def z_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:

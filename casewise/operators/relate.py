@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewise.operators.clean import level_index
+
 
 def join_collate(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Inner join of all tables on one key."""
@@ -40,3 +42,12 @@ def unpivot_wide(wide: DataFrame, ids: Sequence[str], name: str, value: str, col
 def pivot_groups(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, measure: Column) -> DataFrame:
     """One column per listed group value."""
     return df.groupBy(*rows).pivot(column, list(values)).agg(measure)
+
+
+def pivot_long(df: DataFrame, rows: Sequence[str], column: str, measure: Column, name: str = "value") -> DataFrame:
+    """The cells of ``pivot_groups`` for any number of values: one row per group and value that occurs, with the value's ``index`` among all.
+
+    The long form has as many rows as filled cells; a value of NULL has no column and no row.
+    """
+    cells = df.where(F.col(column).isNotNull()).groupBy(*rows, column).agg(measure.alias(name))
+    return level_index(cells, column, "index")

@@ -433,6 +433,21 @@ def _(spark, folder):
     return tidy(clean.one_hot_drop_first(lens.car(spark, folder).select("car_id", "body"), "body"))
 
 
+@query("level_index", "review", """
+    SELECT product, product_index, count(*) AS rows FROM (SELECT product, dense_rank() OVER (ORDER BY product) - 1 AS product_index FROM review) GROUP BY ALL""")
+def _(spark, folder):
+    """Levels by the thousand: an index column instead of a column for each."""
+    indexed = clean.level_index(lens.review(spark, folder).select("product"), "product")
+    return tidy(indexed.groupBy("product", "product_index").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query("pivot_long", "review", """
+    SELECT overall, product, value, dense_rank() OVER (ORDER BY product) - 1 AS index
+    FROM (SELECT overall, product, count(*) AS value FROM review WHERE product IS NOT NULL GROUP BY ALL)""")
+def _(spark, folder):
+    return tidy(relate.pivot_long(lens.review(spark, folder), ["overall"], "product", F.count(F.lit(1))))
+
+
 # ---------------------------------------------------------------- joins and reshaping
 
 

@@ -174,3 +174,30 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), (F.col("id") * 0.25).alias("v")).repartition(parts)
     assert agg.frequency_of_counts(df, "k").orderBy("rows").collect()[0]["keys"] == 1
     assert agg.mean_median(df, "v").first()["median"] == 124.875
+
+
+def test_many_levels_take_one_column(spark):
+    """Indexes are the places in the order; a hot level and NULLs don't matter; too many values are refused, not collected."""
+    rows = [(f"v{i % 3000:04d}",) for i in range(6000)] + [("v0007",)] * 3000 + [(None,)] * 5
+    df = spark.createDataFrame(rows, "c string").repartition(7)
+    got = clean.level_index(df, "c").groupBy("c", "c_index").count().collect()
+    assert {r["c"]: r["c_index"] for r in got} == {None: None, **{f"v{i:04d}": i for i in range(3000)}}
+    assert {r["c"]: r["count"] for r in got}["v0007"] == 3002
+    with pytest.raises(ValueError, match="more than 1000"):
+        clean.one_hot_drop_first(df, "c")
+    assert clean.one_hot_drop_first(df, "c", known=["v0000", "v0007"]).columns == ["c_v0007"]
+    few = df.where("c < 'v0004' OR c = 'v0007'")
+    wide = clean.one_hot_drop_first(few.withColumn("k", F.col("c")), "c")
+    names = [c for c in wide.columns if c != "k"]
+    indexed = {r["c"]: r["c_index"] for r in clean.level_index(few, "c").distinct().collect()}
+    for r in wide.distinct().collect():
+        assert [r[n] for n in names] == [int(indexed[r["k"]] == j) for j in range(1, len(names) + 1)]
+    assert clean.level_index(df.limit(0), "c").count() == 0
+
+
+def test_long_pivot_has_the_wide_cells(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 5.0), ("b", "y", 6.0), ("b", None, 9.0), (None, "z", None)], "g string, c string, v double")
+    long = {(r["g"], r["c"]): (r["index"], r["value"]) for r in relate.pivot_long(df, ["g"], "c", F.sum("v")).collect()}
+    assert long == {("a", "x"): (0, 1.0), ("a", "y"): (1, 2.0), ("b", "y"): (1, 11.0), (None, "z"): (2, None)}
+    wide = {r["g"]: r for r in relate.pivot_groups(df, ["g"], "c", ["x", "y", "z"], F.sum("v")).collect()}
+    assert all(wide[g][c] == v for (g, c), (_, v) in long.items())
