@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from casewise.operators import evaluate as ev
-from casewise.operators import linear, logistic, reduce
+from casewise.operators import linear, logistic, reduce, subspace
 from casewise.plans import lenses as lens
 from casewise.plans.registry import query
 from casewise.plans.shape import tidy
@@ -361,6 +362,14 @@ def _(spark, folder):
     return out.select("vec_id", "is_train", components.alias("components"))
 
 
+@query("pca_leading")
+def _(spark, folder):
+    """Shares of the leading components, found without the covariance of all dimensions."""
+    found = subspace.leading_components(lens.vec(spark, folder), "pixels", 5)
+    rows = [(i, float(v), float(c)) for i, (v, c) in enumerate(zip(found.share, np.cumsum(found.share)), 1)] if found else []
+    return tidy(spark.createDataFrame(rows, "component long, share double, cumulative double"))
+
+
 def _kernel_vectors(spark, folder):
     width = _width(spark, folder)
     return reduce.fourier_features(_split_vectors(spark, folder), "pixels", width, 96, 1.0 / width, SEED)
