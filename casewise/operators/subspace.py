@@ -89,9 +89,9 @@ def leading_components(df: DataFrame, column: str, k: int, passes: int = PASSES,
     entry is positive. Repeated passes stop when no variance among the ``k`` moves any more.
     """
     rows = _rows(df, column)
-    summary = rows.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("v")).alias("s")).first()
-    if summary is None or summary["s"] is None or not summary["s"]["count"]:
+    if rows.isEmpty():
         return None
+    summary = rows.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("v")).alias("s")).first()
     n, centre = int(summary["s"]["count"]), summary["s"]["mean"].toArray()
     every = float(summary["s"]["variance"].toArray().sum())
     size = min(k + OVERSAMPLE, len(centre))
