@@ -7,11 +7,14 @@ estimated cost of its candidates. A pair needs as many matches as the smaller L
 
 1. Documents of the same set form a class, told by a 128-bit fingerprint; a sketch of fixed size counts shingles.
 2. Each class writes its prefix; shingles in no other prefix are dropped by a bitmap of fixed size before anything is shuffled.
-3. Stars: within a prefix shingle (and a size band), the first class leads; each class is verified against the leader it shares
-   most with. A group of thousands of near copies becomes a star of as many pairs.
-4. What is left are pairs of stars not yet connected that share enough prefix shingles. Their centres are verified; members are
-   compared only where the triangle inequality of the Jaccard distance leaves a link possible. Every pair that may link is
-   verified or already connected, so components are exact.
+3. Stars: within a prefix shingle (and a size band), the class leads whose prefix has the smallest share of shingles that no other prefix
+   has: of a text and its edited copies, that is the text. Each class is verified against the leader it shares most with, so a group of
+   thousands of near copies becomes a star of as many pairs. Classes without a link elect new leaders among themselves, as long as
+   that links a good part of them.
+4. What is left are pairs of stars not yet connected that share enough prefix shingles. Their centres are verified. Where the
+   triangle inequality of the Jaccard distance leaves a link of members possible, the members are verified against the other
+   centre; if the stars are still apart, so are the pairs of members that these distances leave possible. Every pair that may link
+   is verified or already connected, so components are exact.
 
 Nothing is collected but the sketch and bitmaps, whose sizes are fixed.
 
@@ -42,6 +45,10 @@ SIZE_SHIFT = 31  # sizes and matches are packed into one number
 SEEN_SETS = 100_000
 WANTED_BITS = 1 << 24
 LARGE_SET, LEADER_SHARE = 200, 8  # of larger sets, one shingle in so many votes for a leader
+STRAY_STEPS = 1000  # a prefix's share of shingles of its own, in so many steps
+LIMIT = 1 - PERCENT / 100 + 1e-9  # the distance of a link, with room for rounding
+WORTH = 0.1  # leaders are elected again while so many of the pairs verified last were links
+LINKED = f"100 * both >= {PERCENT} * whole"
 
 
 def needed(n):
@@ -133,18 +140,22 @@ def _prefixes(sketch):
 
 
 def _postings(repeated):
-    """A row per prefix shingle that may stand in another prefix too; size and matches packed into one number."""
+    """A row per prefix shingle that may stand in another prefix too; size and matches packed into one number, and the set's place in an
+    election: by size band, then by its share of shingles of its own."""
     def run(batches):
         for batch in batches:
-            tokens, sets, packed = [], [], []
+            tokens, sets, packed, places = [], [], [], []
             for row in batch.to_pylist():
                 prefix = np.frombuffer(row["prefix"], "<u8")
                 kept = prefix[passes(repeated.value, prefix)]
                 tokens.append(kept.view(np.int64))
                 sets += [row["set"]] * len(kept)
                 packed.append(np.full(len(kept), row["n"] << SIZE_SHIFT | row["matches"], np.int64))
+                stray = (len(prefix) - len(kept)) * STRAY_STEPS // len(prefix)
+                places.append(np.full(len(kept), int(size_band(np.int64(row["n"]))) * (STRAY_STEPS + 1) + stray, np.int32))
             if sets:
-                yield _batch([np.concatenate(tokens), sets, np.concatenate(packed)], (pa.int64(), pa.binary(), pa.int64()), ["token", "set", "size"])
+                yield _batch([np.concatenate(tokens), sets, np.concatenate(packed), np.concatenate(places)],
+                             (pa.int64(), pa.binary(), pa.int64(), pa.int32()), ["token", "set", "size", "place"])
 
     return run
 
@@ -155,37 +166,37 @@ def size_band(n: np.ndarray) -> np.ndarray:
 
 
 def _lead(batches):
-    """Postings sorted by token, size, set: names each one's leader and drops tokens of a single set. Holds one row between batches."""
-    names = ["token", "set", "size", "leader", "leader_size"]
-    types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
-    carry = None  # the last row: token, set, size, its leader, whether an earlier row has its token
+    """Postings sorted by token, place, set: names each one's leader and drops tokens of a single set. Holds one row between batches."""
+    names = ["token", "set", "size", "place", "leader", "leader_size"]
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    carry = None  # the last row: token, set, size, place, its leader and that one's size, whether an earlier row has its token
     for batch in batches:
-        token, size = batch.column("token").to_numpy(zero_copy_only=False), batch.column("size").to_numpy(zero_copy_only=False)
+        token, size, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "size", "place"))
         sets = np.array(batch.column("set").to_pylist(), object)
         if not len(token):
             continue
         if carry:
-            token, size = np.concatenate([[carry[0]], token]), np.concatenate([[carry[2]], size])
+            token, size, place = (np.concatenate([[c], x]) for c, x in zip((carry[0], carry[2], carry[3]), (token, size, place)))
             sets = np.concatenate([np.array([carry[1]], object), sets])
         same = np.concatenate([[False], token[1:] == token[:-1]])
         fresh_row = ~(same & np.concatenate([[False], sets[1:] == sets[:-1]]))
-        token, size, sets = token[fresh_row], size[fresh_row], sets[fresh_row]
+        token, size, place, sets = token[fresh_row], size[fresh_row], place[fresh_row], sets[fresh_row]
         same = np.concatenate([[False], token[1:] == token[:-1]])
-        band = size_band(size >> SIZE_SHIFT)
+        band = place // (STRAY_STEPS + 1)
         begins = ~(same & np.concatenate([[False], band[1:] == band[:-1]]))
         leads = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
         leader, leader_size = sets[leads], size[leads]
         if carry:
             first = leads == 0
-            leader[first], leader_size[first] = carry[3], carry[4]
-            same[0] = carry[5]
+            leader[first], leader_size[first] = carry[4], carry[5]
+            same[0] = carry[6]
         shared = same | np.concatenate([same[1:], [False]])
-        carry = (token[-1], sets[-1], size[-1], leader[-1], leader_size[-1], bool(same[-1]))
+        carry = (token[-1], sets[-1], size[-1], place[-1], leader[-1], leader_size[-1], bool(same[-1]))
         out = np.flatnonzero(shared[:-1])
         if len(out):
-            yield _batch([x[out] for x in (token, sets, size, leader, leader_size)], types, names)
-    if carry and carry[5]:
-        yield _batch([[x] for x in carry[:5]], types, names)
+            yield _batch([x[out] for x in (token, sets, size, place, leader, leader_size)], types, names)
+    if carry and carry[6]:
+        yield _batch([[x] for x in carry[:6]], types, names)
 
 
 def _wanted_sets(wanted):
@@ -217,14 +228,33 @@ def _overlaps(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["a", "b", "both", "whole"])
 
 
-def verify(read: DataFrame, pairs: DataFrame) -> DataFrame:
+def _passing(wanted):
+    def run(batches):
+        for batch in batches:
+            starts = np.frombuffer(b"".join(x[:8] for x in batch.column("set").to_pylist()), "<u8")
+            yield batch.filter(pa.array(passes(wanted.value, starts, WANTED_BITS)))
+
+    return run
+
+
+def possible_sets(read: DataFrame, shared: DataFrame) -> DataFrame:
+    """(set, values) of all sets that have as many shared prefix shingles as any partner would ask for, written once."""
+    names = cut(_fit(shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))))
+    wanted = key_filter(names, "set", 1, WANTED_BITS)
+    sets = read.mapInArrow(_wanted_sets(wanted), "set binary, values binary").join(names, "set", "left_semi").dropDuplicates(["set"])
+    out = write_table(sets)
+    wanted.destroy()
+    return out
+
+
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: a, b, both, whole. Only sets that stand in a pair leave their task."""
     pairs = cut(pairs.select("a", "b"))
     if pairs.isEmpty():
         return pairs.select("a", "b", F.lit(0).cast("long").alias("both"), F.lit(1).cast("long").alias("whole"))
     names = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     wanted = key_filter(names, "set", 1, WANTED_BITS)
-    sets = read.mapInArrow(_wanted_sets(wanted), "set binary, values binary").join(names, "set", "left_semi").dropDuplicates(["set"])
+    sets = sets.mapInArrow(_passing(wanted), "set binary, values binary")
     left = sets.select(F.col("set").alias("a"), F.col("values").alias("values_a"))
     right = sets.select(F.col("set").alias("b"), F.col("values").alias("values_b"))
     out = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a binary, b binary, both long, whole long"))
@@ -232,7 +262,15 @@ def verify(read: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-LINKED = f"100 * both >= {PERCENT} * whole"
+def _matches(packed: str):
+    return F.col(packed).bitwiseAND((1 << SIZE_SHIFT) - 1)
+
+
+def _fit(placed: DataFrame) -> DataFrame:
+    """Names of the sets that have as many of the shingles in ``placed`` as any partner would ask for."""
+    partner = F.floor(F.ceil(F.col("n") * PERCENT / 100) / FEWEST)
+    return placed.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.min("asked").alias("asked"), F.min("n").alias("n")).filter(
+        F.col("held") >= F.least("asked", F.greatest(partner, F.lit(1)))).select("set")
 
 
 def survey(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, object]:
@@ -252,74 +290,108 @@ def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
     prefixes = cut(read.mapInArrow(_prefixes(sketch), "set binary, n long, matches long, prefix binary"))
     sketch.destroy()
     repeated = key_filter(prefixes, "prefix", 2)
-    postings = prefixes.mapInArrow(_postings(repeated), "token long, set binary, size long")
-    sorted_ = postings.repartition(F.col("token")).sortWithinPartitions("token", "size", "set")
-    shared = write_table(sorted_.mapInArrow(_lead, "token long, set binary, size long, leader binary, leader_size long"))
+    postings = prefixes.mapInArrow(_postings(repeated), "token long, set binary, size long, place int")
+    sorted_ = postings.repartition(F.col("token")).sortWithinPartitions("token", "place", "set")
+    shared = write_table(sorted_.mapInArrow(_lead, "token long, set binary, size long, place int, leader binary, leader_size long"))
     repeated.destroy()
-    matches = lambda c: F.col(c).bitwiseAND((1 << SIZE_SHIFT) - 1)
-
-    # Who leads whom is a guess that verification checks; what it misses is found between the stars.
-    large = F.shiftright("size", SIZE_SHIFT) >= LARGE_SET
-    votes = shared.filter("set <> leader").filter(~large | (F.pmod("token", F.lit(LEADER_SHARE)) == 0))
-    met = votes.groupBy("set", "leader").agg(
-        F.sum(F.when(large, LEADER_SHARE).otherwise(1)).alias("met"),
-        F.least(F.min(matches("size")), F.min(matches("leader_size"))).alias("asked")).filter(F.col("met") * 2 >= F.col("asked"))
-    best = met.groupBy("set").agg(F.max(F.struct("met", "leader")).alias("best")).select(F.col("set").alias("a"), F.col("best.leader").alias("b"))
-    starred = verify(read, best).filter(LINKED)
+    sets = possible_sets(read, shared)
+    starred = _stars(sets, shared)
 
     centres = starred.select(F.col("b").alias("set")).distinct()
     # A class that leads is a centre itself; its own link stays a link.
-    rays = starred.join(centres.withColumnRenamed("set", "a"), "a", "left_anti").select(
-        F.col("a").alias("set"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("whole")).alias("far"))
-    rays = cut(rays)
-    return cut(_between(read, shared, rays, starred.select("a", "b"), matches))
+    rays = cut(starred.join(centres.withColumnRenamed("set", "a"), "a", "left_anti").select(
+        F.col("a").alias("set"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("whole")).alias("far")))
+    return cut(_between(sets, shared, rays, starred.select("a", "b")))
 
 
-def _between(read, shared, rays, links, matches):
+def _favourites(led: DataFrame) -> DataFrame:
+    """Each set's leader (a, b) that it shares most prefix shingles with, if about as many as the two ask for."""
+    large = F.shiftright("size", SIZE_SHIFT) >= LARGE_SET
+    votes = led.filter("set <> leader").filter(~large | (F.pmod("token", F.lit(LEADER_SHARE)) == 0))
+    met = votes.groupBy("set", "leader").agg(
+        F.sum(F.when(large, LEADER_SHARE).otherwise(1)).alias("met"),
+        F.least(F.min(_matches("size")), F.min(_matches("leader_size"))).alias("asked")).filter(F.col("met") * 2 >= F.col("asked"))
+    return met.groupBy("set").agg(F.max(F.struct("met", "leader")).alias("best")).select(F.col("set").alias("a"), F.col("best.leader").alias("b"))
+
+
+def _stars(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (a, b, both, whole) of classes to leaders. Who leads whom is a guess that verification checks; what it misses is found between the stars."""
+    tried = verify(sets, _favourites(shared))
+    starred, led = tried.filter(LINKED), tried.select("b").distinct()
+    while True:
+        pairs, found = tried.agg(F.count(F.lit(1)), F.count(F.when(F.expr(LINKED), 1))).first()
+        if not pairs or found < WORTH * pairs:
+            return starred
+        # Whoever has no link yet elects again, from those that never led.
+        linked = starred.select(F.col("a").alias("set")).unionByName(starred.select(F.col("b").alias("set"))).distinct()
+        alone = shared.drop("leader", "leader_size").withColumn("band", F.floor(F.col("place") / (STRAY_STEPS + 1))).join(linked, "set", "left_anti")
+        first = alone.join(led.withColumnRenamed("b", "set"), "set", "left_anti").groupBy("token", "band").agg(F.min(F.struct("place", "set", "size")).alias("first"))
+        tried = verify(sets, _favourites(alone.join(first, ["token", "band"]).select(
+            "token", "set", "size", F.col("first.set").alias("leader"), F.col("first.size").alias("leader_size"))))
+        starred = cut(starred.unionByName(tried.filter(LINKED)))
+        led = cut(led.unionByName(tried.select("b")).distinct())
+
+
+def _labels(rays: DataFrame, links: DataFrame) -> DataFrame:
+    """(set, centre, root) of all sets with a link; sets of one root are connected."""
+    top = roots(links, "a", "b")
+    nodes = top.unionByName(top.select(F.col("root").alias("node"), "root").distinct())
+    return nodes.withColumnRenamed("node", "set").join(rays.select("set", "centre"), "set", "left").select("set", F.coalesce("centre", "set").alias("centre"), "root")
+
+
+def _between(sets, shared, rays, links):
     """All links so far and those found between stars."""
-    # Sets of one root are connected; a centre may hang on a centre itself.
-    parent = links.select(F.col("a").alias("centre"), F.col("b").alias("root"))
-    placed = shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), matches("size").alias("asked"))
-    label = rays.select("set", "centre").join(parent, "centre", "left").select("set", "centre", F.coalesce("root", "centre").alias("root"))
-    label = cut(label.unionByName(parent.select(F.col("centre").alias("set"), "centre", "root").join(rays.select("set"), "set", "left_anti")))
-    placed = placed.join(label, "set", "left").withColumns({c: F.coalesce(c, "set") for c in ("centre", "root")})
+    placed = shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))
+    placed = placed.join(_labels(rays, links), "set", "left").withColumns({c: F.coalesce(c, "set") for c in ("centre", "root")})
     # Only shingles that sets of several roots have; and of those only sets that have as many as any partner would ask for.
     ends = Window.partitionBy("token")
     mixed = placed.repartition(F.col("token")).withColumn("several", F.min("root").over(ends) != F.max("root").over(ends)).filter("several").drop("several")
     mixed = write_table(mixed)
-    partner = F.floor(F.ceil(F.col("n") * PERCENT / 100) / FEWEST)
-    fit = mixed.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.min("asked").alias("asked"), F.min("n").alias("n")).filter(
-        F.col("held") >= F.least("asked", F.greatest(partner, F.lit(1)))).select("set")
-    placed = mixed.join(fit, "set", "left_semi").groupBy("token", "centre", "root").agg(
-        F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = cut(placed)
+    placed = cut(mixed.join(_fit(mixed), "set", "left_semi").groupBy("token", "centre", "root").agg(
+        F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high")))
     x = placed.select("token", *(F.col(c).alias(c + "_a") for c in ("centre", "root", "asked", "low", "high")))
     y = placed.select("token", *(F.col(c).alias(c + "_b") for c in ("centre", "root", "asked", "low", "high")))
     fits = (F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT)
     pairs = x.join(y, "token").filter((F.col("centre_a") < F.col("centre_b")) & (F.col("root_a") != F.col("root_b")) & fits)
     pairs = pairs.groupBy("centre_a", "centre_b").agg(
         F.count(F.lit(1)).alias("met"), F.least(F.min("asked_a"), F.min("asked_b")).alias("asked")).filter("met >= asked")
-    measured = verify(read, pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))
-    links = links.unionByName(measured.filter(LINKED).select("a", "b"))
+    measured = verify(sets, pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))
+    links = cut(links.unionByName(measured.filter(LINKED).select("a", "b")))
 
     # Members of two stars can link only if their centres are near enough for it.
-    limit = 1 - PERCENT / 100
     reach = rays.groupBy(F.col("centre").alias("set")).agg(F.max("far").alias("far"))
     apart = measured.filter(f"NOT ({LINKED})").withColumn("gap", 1 - F.col("both") / F.col("whole"))
     apart = apart.join(reach.select(F.col("set").alias("a"), F.col("far").alias("far_a")), "a", "left")
     apart = apart.join(reach.select(F.col("set").alias("b"), F.col("far").alias("far_b")), "b", "left").na.fill(0.0, ["far_a", "far_b"])
-    slack = 1e-9
-    near = apart.filter((F.col("far_a") + F.col("far_b") > 0) & (F.col("gap") <= F.col("far_a") + F.col("far_b") + limit + slack)).select("a", "b", "gap")
-    every = rays.select("centre", "set", "far").unionByName(
-        rays.select("centre").distinct().unionByName(near.select(F.col("a").alias("centre"))).unionByName(near.select(F.col("b").alias("centre"))).distinct()
-        .select("centre", F.col("centre").alias("set"), F.lit(0.0).alias("far")))
-    members = near.join(every.select(F.col("centre").alias("a"), F.col("set").alias("x"), F.col("far").alias("far_x")), "a")
-    members = members.join(every.select(F.col("centre").alias("b"), F.col("set").alias("y"), F.col("far").alias("far_y")), "b")
-    members = members.filter((F.col("far_x") + F.col("far_y") > 0) & (F.col("gap") <= F.col("far_x") + F.col("far_y") + limit + slack))
-    found = verify(read, members.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter(LINKED)
+    near = _unconnected(apart.filter((F.col("far_a") + F.col("far_b") > 0) & (F.col("gap") <= F.col("far_a") + F.col("far_b") + LIMIT)), links)
+    near = cut(near.select("a", "b", "gap", "far_a", "far_b"))
+    if near.isEmpty():
+        return links
+
+    # Members against the other star's centre.
+    turned = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap", F.col("far_b").alias("far_a"), F.col("far_a").alias("far_b")))
+    crossing = rays.select(F.col("centre").alias("a"), F.col("set").alias("x"), F.col("far").alias("far_x")).join(turned, "a").filter(
+        F.col("gap") <= F.col("far_x") + F.col("far_b") + LIMIT)
+    away = verify(sets, crossing.select(F.col("x").alias("a"), "b").distinct())
+    links = cut(links.unionByName(away.filter(LINKED).select("a", "b")))
+
+    # Pairs of members of stars that are still apart.
+    away = away.select(F.col("a").alias("x"), "b", (1 - F.col("both") / F.col("whole")).alias("off"))
+    members = crossing.join(away, ["x", "b"]).filter(F.col("off") <= F.col("far_b") + LIMIT).select("a", "b", "x", "far_x", "off")
+    left = _unconnected(near, links).select("a", "b").join(members, ["a", "b"])
+    right = members.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("x").alias("y"), F.col("far_x").alias("far_y"), F.col("off").alias("off_y"))
+    both = left.join(right, ["a", "b"]).filter((F.col("off") <= F.col("far_y") + LIMIT) & (F.col("off_y") <= F.col("far_x") + LIMIT))
+    found = verify(sets, both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).filter(LINKED)
     return links.unionByName(found.select("a", "b"))
 
 
+def _unconnected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b, …) that ``links`` don't connect."""
+    top = roots(links, "a", "b")
+    of = lambda c: top.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
 def _linked(docs: DataFrame, text: str, key: str) -> DataFrame:
     """id, mark, n and component_id of every row."""
     members, sketch = survey(docs, text, key)
