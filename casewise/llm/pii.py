@@ -2,9 +2,13 @@ r"""Personal data: patterns, and terms that give a protected value away; DataFra
 
 Base kinds are e-mail and IP addresses, card and phone numbers, found by pattern and then checked. The method adds spans of kind
 ``term``: with every value found being a protected entity e, a term t of the same document discloses it to the degree
-``PMI(t, e) / IC(e)``, where PMI = log(N n(t,e) / (n(t) n(e))) and IC = log(N / n(e)) come from document counts over the whole corpus and whole texts.
-1 means that the term never occurs without the value. From ``GENERALISE_AT`` on, the term is replaced by a general placeholder wherever it
-stands in a document that holds the value, from ``REMOVE_AT`` on it is removed. A pair that fewer than ``SUPPORT`` documents share is no evidence. Base spans are always replaced by the name of their kind.
+``PMI(t, e) / IC(e)``, where PMI = log(N P(e|t) / n(e)) and IC = log(N / n(e)) come from document counts over the whole corpus and whole texts.
+1 means that the term never occurs without the value. P(e|t) is not the bare share n(t,e) / n(t) but the lower end of its Wilson interval (``Z``), so a
+term seen once tells less than one seen often, and no pair is left out for being rare. Values also share evidence by class (mail domain, first half of an IP
+address, issuer of a card, first digits of a phone number): what a term tells of the class counts towards every value in it, again as a share of IC(e), and the
+greater of both holds. From ``GENERALISE_AT`` on, the term is replaced by a general placeholder wherever it stands in a document that holds the value, from
+``REMOVE_AT`` on it is removed. Terms are runs of letters, digits and underscores of any length, lower-cased; those within a base span are evidence, but
+get no span of their own. A value that every document holds can't be disclosed. Base spans are always replaced by the name of their kind.
 
 Patterns are written so that matching is linear: possessive runs that begin only where a run can begin.
 
@@ -15,9 +19,10 @@ Spans count code points, the end exclusive.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casewise.llm.common import cut, fresh
+from casewise.llm.common import cut, fresh, write_table
 
 # The kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -32,8 +37,8 @@ PATTERNS = {
 MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[ -]?[0-9]){13}"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"
-TERM = r"\p{L}{3,}"
-SUPPORT = 5
+TERM = r"[\p{L}\p{N}_]+"
+Z = 1.645
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
 SPAN = "struct<kind:string,start:bigint,stop:bigint,value:string>"
 
@@ -92,25 +97,57 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, held: DataFrame, text: str, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) over the whole corpus. ``texts``: (row, text) of documents with protected values; ``held``: (row, entity), distinct."""
-    # No pair is in more documents than its entity: only entities with enough of them are paired with terms.
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
-    frequent = held.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
-    both = texts.join(frequent, "row").select(F.explode("held").alias("e"), _terms(F.col("text")).alias("terms"))
-    pairs = both.select("e.entity", "e.n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(
-        F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+def _class(value: Column) -> Column:
+    """What values of an entity ``kind:value`` share evidence by."""
+    kind = F.substring_index(value, ":", 1)
+    return F.when(kind == "email", F.concat(F.lit("email@"), F.substring_index(value, "@", -1))).when(
+        kind == "ip", F.concat(F.lit("ip/"), F.substring_index(F.substring_index(value, ":", -1), ".", 2))).when(
+        kind == "card", F.concat(F.lit("card/"), F.substring(F.substring_index(value, ":", -1), 1, 6))).otherwise(
+        F.concat(F.lit("phone/"), F.substring(F.substring_index(value, ":", -1), 1, 4)))
+
+
+def _standing(texts: DataFrame) -> DataFrame:
+    """(row, term, places) of (row, text): where each distinct term of a text stands. Gaps and terms alternate; their lengths add up to places."""
+    text = F.col("text")
+    pairs = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("term"))
+    runs = texts.select("row", F.posexplode(pairs).alias("at", "pair")).select(
+        "row", "at", F.char_length("pair.gap").alias("gap"), F.col("pair.term").alias("term")).where("term IS NOT NULL")
+    so_far = W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stop = F.sum((F.col("gap") + F.char_length("term")).cast("long")).over(so_far)
+    placed = runs.select("row", F.lower("term").alias("lowered"), (stop - F.char_length("term")).alias("start"), stop.alias("stop"))
+    return placed.groupBy("row", F.col("lowered").alias("term")).agg(F.collect_list(F.struct("start", "stop")).alias("places"))
+
+
+def _lower_share(hits: Column, n: Column, z: float = Z) -> Column:
+    """The lower end of the Wilson interval of a share."""
+    share, z2 = hits / n, z * z
+    return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def disclosing_terms(docs: DataFrame, standing: DataFrame, held: DataFrame, text: str, at: float = GENERALISE_AT) -> DataFrame:
+    """(row, term, disclosure) of the terms that give away a value of their document.
+
+    ``standing``: (row, term, ...), the distinct terms of documents with values; ``held``: (row, entity), distinct; ``docs`` give the corpus counts.
+    Terms and values of a document meet in a join on its row, so a long document is split over tasks where it outgrows one."""
+    total = float(docs.count())
+    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    known = held.join(of_entity, "entity").select("row", "entity", F.log(F.lit(total) / F.col("n")).alias("content"))
+    # Every value stands for itself and for its class; a class counts once a document, by the least content it has to reach there.
+    both = known.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder"), "content").where("content > 0")
+    holders = both.groupBy("row", "holder").agg(F.min("content").alias("content"))
+    of_holder = held.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder")).distinct().groupBy("holder").agg(
+        F.count(F.lit(1)).alias("n_holder"))
+    pairs = standing.select("row", "term").join(holders, "row")
     words = docs.select(F.explode(_terms(F.col(text))).alias("term"))
     seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # added up in each task before it is shuffled
-    total = docs.count()
-    counted = pairs.join(seen, "term")
-    pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    found = counted.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).filter(F.col("disclosure") >= at)
-    return found.select("entity", "term", "disclosure")
+    counted = pairs.groupBy("holder", "term").agg(F.count(F.lit(1)).alias("both"), F.min("content").alias("least")).join(seen, "term").join(of_holder, "holder")
+    pmi = F.log(F.lit(total) / F.col("n_holder")) + F.log(_lower_share(F.col("both"), F.col("n_term")))
+    telling = counted.withColumn("pmi", pmi).where(F.col("pmi") >= at * F.col("least")).select("holder", "term", "pmi")
+    told = pairs.join(telling, ["holder", "term"]).withColumn("disclosure", F.col("pmi") / F.col("content")).where(F.col("disclosure") >= at)
+    return told.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> tuple[DataFrame, DataFrame, str]:
+def find_private(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """``docs`` as two tables: rows with a digit or sign that private data need, with a new column of spans, and all other rows.
 
     Returns (rows with spans, the others unchanged, the column's name). Spans: (start, place of the kind in ``KINDS``, stop, remove)."""
@@ -118,22 +155,20 @@ def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT) ->
     spans, row = fresh(docs, "_spans"), fresh(docs, "_row")
     found = docs.filter(maybe).withColumn(row, F.monotonically_increasing_id()).withColumn(spans, base_spans(F.col(text)))
     found = cut(found)
-    entities = F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    # Numbers are the same however they are grouped.
+    bare = lambda s: F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
+    entities = F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), bare(s))))
     held = found.select(F.col(row).alias("row"), F.explode(entities).alias("entity"))
-    flagged = disclosing_terms(docs, found.select(F.col(row).alias("row"), F.col(text).alias("text")), held, text, support)
-    by_entity = flagged.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
-    by_row = held.join(by_entity, "entity").groupBy("row").agg(F.flatten(F.collect_list("terms")).alias("terms"))
-    name = fresh(docs, "_added")
-    by_row = by_row.select(F.col("row").alias(row), F.col("terms").alias(name))
-    degree = lambda t: F.array_max(F.transform(F.filter(name, lambda x: x["term"] == F.lower(t)), lambda x: x["disclosure"]))
-    standing = _places(F.col(text), TERM, F.lit("term"), F.lit(0), lambda t: F.exists(name, lambda x: x["term"] == F.lower(t)))
-    outside = F.filter(standing, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    added = F.when(F.col(name).isNotNull(), F.transform(outside, lambda t: F.struct(
-        t["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), t["stop"].alias("stop"), (degree(t["value"]) >= REMOVE_AT).alias("remove"))))
+    standing = write_table(_standing(found.where(F.size(spans) > 0).select(F.col(row).alias("row"), F.col(text).alias("text"))))
+    flagged = disclosing_terms(docs, standing, held, text).withColumn("remove", F.col("disclosure") >= REMOVE_AT)
+    name, kind = fresh(docs, "_added"), "array<struct<start:bigint,kind:int,stop:bigint,remove:boolean>>"
+    places = standing.join(flagged, ["row", "term"]).select("row", F.explode("places").alias("p"), "remove")
+    as_span = F.struct(F.col("p.start").alias("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("p.stop").alias("stop"), F.col("remove").alias("remove"))
+    by_row = places.groupBy(F.col("row").alias(row)).agg(F.collect_list(as_span).cast(kind).alias(name))
+    added = F.filter(name, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     place = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("kind"), s["stop"].alias("stop"), F.lit(False).alias("remove")))
-    kind = "array<struct<start:bigint,kind:int,stop:bigint,remove:boolean>>"
-    both = F.array_sort(F.concat(base.cast(kind), F.coalesce(added.cast(kind), F.array().cast(kind))))
+    both = F.array_sort(F.concat(base.cast(kind), F.coalesce(added, F.array().cast(kind))))
     with_spans = found.join(by_row, row, "left").select(*docs.columns, both.alias(spans))
     return with_spans, docs.filter(~maybe), spans
 
