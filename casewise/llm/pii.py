@@ -107,15 +107,17 @@ def _class(value: Column) -> Column:
 
 
 def _standing(texts: DataFrame) -> DataFrame:
-    """(row, term, places) of (row, text): where each distinct term of a text stands. Gaps and terms alternate; their lengths add up to places."""
+    """(row, most, term, places) of (row, most, text): where each distinct term of a text stands. Gaps and terms alternate; their lengths add up to places.
+
+    Texts are dealt out by row once, what is taken from them stays in its task."""
     text = F.col("text")
     pairs = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("term"))
-    runs = texts.select("row", F.posexplode(pairs).alias("at", "pair")).select(
-        "row", "at", F.char_length("pair.gap").alias("gap"), F.col("pair.term").alias("term")).where("term IS NOT NULL")
+    runs = texts.repartition("row").select("row", "most", F.posexplode(pairs).alias("at", "pair")).select(
+        "row", "most", "at", F.char_length("pair.gap").alias("gap"), F.col("pair.term").alias("term")).where("term IS NOT NULL")
     so_far = W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     stop = F.sum((F.col("gap") + F.char_length("term")).cast("long")).over(so_far)
-    placed = runs.select("row", F.lower("term").alias("lowered"), (stop - F.char_length("term")).alias("start"), stop.alias("stop"))
-    return placed.groupBy("row", F.col("lowered").alias("term")).agg(F.collect_list(F.struct("start", "stop")).alias("places"))
+    placed = runs.select("row", "most", F.lower("term").alias("lowered"), (stop - F.char_length("term")).alias("start"), stop.alias("stop"))
+    return placed.groupBy("row", "most", F.col("lowered").alias("term")).agg(F.collect_list(F.struct("start", "stop")).alias("places"))
 
 
 def _lower_share(hits: Column, n: Column, z: float = Z) -> Column:
@@ -124,27 +126,35 @@ def _lower_share(hits: Column, n: Column, z: float = Z) -> Column:
     return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def disclosing_terms(docs: DataFrame, standing: DataFrame, held: DataFrame, text: str, at: float = GENERALISE_AT) -> DataFrame:
-    """(row, term, disclosure) of the terms that give away a value of their document.
+def disclosing_terms(docs: DataFrame, texts: DataFrame, held: DataFrame, text: str, at: float = GENERALISE_AT) -> DataFrame:
+    """(row, places, disclosure) of the terms that give away a value of their document, and where they stand.
 
-    ``standing``: (row, term, ...), the distinct terms of documents with values; ``held``: (row, entity), distinct; ``docs`` give the corpus counts.
-    Terms and values of a document meet in a join on its row, so a long document is split over tasks where it outgrows one."""
+    ``texts``: (row, text) of documents with values; ``held``: (row, entity), distinct; ``docs`` give the corpus counts.
+    As P(e|t) is at most n(e) / n(t) and at most 1, PMI can't reach ``at`` times IC where n(t) or n(e) exceeds N exp(-at IC): such pairs, nearly all, are
+    left out before any are counted, which changes no result. Terms and values of a document meet in a join on its row."""
     total = float(docs.count())
     of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    known = held.join(of_entity, "entity").select("row", "entity", F.log(F.lit(total) / F.col("n")).alias("content"))
+    known = held.join(of_entity, "entity").select("row", "entity", F.log(F.lit(total) / F.col("n")).alias("content")).where("content > 0")
     # Every value stands for itself and for its class; a class counts once a document, by the least content it has to reach there.
-    both = known.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder"), "content").where("content > 0")
-    holders = both.groupBy("row", "holder").agg(F.min("content").alias("content"))
-    of_holder = held.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder")).distinct().groupBy("holder").agg(
-        F.count(F.lit(1)).alias("n_holder"))
-    pairs = standing.select("row", "term").join(holders, "row")
+    both = known.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder"), "content")
+    holders = cut(both.groupBy("row", "holder").agg(F.min("content").alias("content")))
+    of_all = held.select("row", F.explode(F.array("entity", _class(F.col("entity")))).alias("holder")).distinct()
+    of_holder = of_all.groupBy("holder").agg(F.count(F.lit(1)).alias("n_holder")).join(
+        holders.groupBy("holder").agg(F.min("content").alias("least")), "holder")
+    reach = F.lit(total * (1 + 1e-9)) * F.exp(F.lit(-at) * F.col("least"))
+    able = cut(holders.join(of_holder.withColumn("reach", reach).where("n_holder <= reach"), "holder"))
+    bound = able.groupBy("row").agg(F.max("reach").alias("most"))
     words = docs.select(F.explode(_terms(F.col(text))).alias("term"))
     seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # added up in each task before it is shuffled
-    counted = pairs.groupBy("holder", "term").agg(F.count(F.lit(1)).alias("both"), F.min("content").alias("least")).join(seen, "term").join(of_holder, "holder")
+    standing = _standing(texts.join(bound, "row"))
+    rare = write_table(standing.join(seen, "term").where("n_term <= most").select("row", "term", "n_term", "places"))
+    pairs = rare.select("row", "term", "n_term").join(able, "row").where("n_term <= reach")
+    counted = pairs.groupBy("holder", "term", "n_holder", "n_term", "least").agg(F.count(F.lit(1)).alias("both"))
     pmi = F.log(F.lit(total) / F.col("n_holder")) + F.log(_lower_share(F.col("both"), F.col("n_term")))
     telling = counted.withColumn("pmi", pmi).where(F.col("pmi") >= at * F.col("least")).select("holder", "term", "pmi")
-    told = pairs.join(telling, ["holder", "term"]).withColumn("disclosure", F.col("pmi") / F.col("content")).where(F.col("disclosure") >= at)
-    return told.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = pairs.select("row", "holder", "term", "content").join(telling, ["holder", "term"]).withColumn(
+        "disclosure", F.col("pmi") / F.col("content")).where(F.col("disclosure") >= at)
+    return rare.join(told.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure")), ["row", "term"]).select("row", "places", "disclosure")
 
 
 def find_private(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, str]:
@@ -159,10 +169,10 @@ def find_private(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     bare = lambda s: F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
     entities = F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), bare(s))))
     held = found.select(F.col(row).alias("row"), F.explode(entities).alias("entity"))
-    standing = write_table(_standing(found.where(F.size(spans) > 0).select(F.col(row).alias("row"), F.col(text).alias("text"))))
-    flagged = disclosing_terms(docs, standing, held, text).withColumn("remove", F.col("disclosure") >= REMOVE_AT)
+    texts = found.where(F.size(spans) > 0).select(F.col(row).alias("row"), F.col(text).alias("text"))
+    flagged = disclosing_terms(docs, texts, held, text)
     name, kind = fresh(docs, "_added"), "array<struct<start:bigint,kind:int,stop:bigint,remove:boolean>>"
-    places = standing.join(flagged, ["row", "term"]).select("row", F.explode("places").alias("p"), "remove")
+    places = flagged.select("row", F.explode("places").alias("p"), (F.col("disclosure") >= REMOVE_AT).alias("remove"))
     as_span = F.struct(F.col("p.start").alias("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("p.stop").alias("stop"), F.col("remove").alias("remove"))
     by_row = places.groupBy(F.col("row").alias(row)).agg(F.collect_list(as_span).cast(kind).alias(name))
     added = F.filter(name, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
