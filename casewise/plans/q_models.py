@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from casewise.operators import evaluate as ev
-from casewise.operators import linear, logistic, reduce, subspace
+from casewise.operators import landmarks, linear, logistic, reduce, subspace
 from casewise.plans import lenses as lens
 from casewise.plans.registry import query
 from casewise.plans.shape import tidy
@@ -370,15 +370,12 @@ def _(spark, folder):
     return tidy(spark.createDataFrame(rows, "component long, share double, cumulative double"))
 
 
-def _kernel_vectors(spark, folder):
-    width = _width(spark, folder)
-    return reduce.fourier_features(_split_vectors(spark, folder), "pixels", width, 96, 1.0 / width, SEED)
-
-
 @query("kernel_classifier")
 def _(spark, folder):
-    # Split and features are used by every iteration and by the scoring; they are worked out once.
-    rows = stage(_kernel_vectors(spark, folder).select("digit", "is_train", "_features"), "features")
+    # Split and features are used by every round, iteration and by the scoring; they are worked out once.
+    vectors = stage(_split_vectors(spark, folder).select("vec_id", "digit", "is_train", "pixels"), "vectors")
+    found = landmarks.choose(vectors.where("is_train"), "vec_id", "pixels", 96, 1.0 / _width(spark, folder), seed=SEED)
+    rows = stage(landmarks.features(vectors, "pixels", found).select("digit", "is_train", "_features"), "features")
     train = rows.where("is_train")
     model = reduce.kernel_classifier(train, "digit", train.count(), cost=2.0)
     called = model.transform(rows.where("NOT is_train")).select("digit", F.col("prediction").cast("long").alias("predicted"))
