@@ -15,6 +15,7 @@ Null texts count as empty: such a document is its end id alone. Repeated rows ar
 from __future__ import annotations
 
 import zlib
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +42,46 @@ def balance(lengths: list[int], bins: int, capacity: int = CAPACITY) -> tuple[li
 
     Returns the pieces (item, start in it, length, bin), in the order in which they enter the bins, and the rest that had no room
     (item, start, length). Ties go to the longer item first, then to the earlier one, then to the smaller bin."""
-    room, load = np.full(bins, capacity), np.zeros(bins)
+    room, load = [capacity] * bins, [0.0] * bins
+    rooms, loads = np.full(bins, capacity), np.zeros(bins)  # the same for looks at all sequences, which only cut documents need
+    # Sequences by load; those without room for the present item wait, by room, for shorter ones. What was outdated by a later piece is passed over.
+    ready, waiting = [(0.0, b) for b in range(bins)], []
     placed, rest = [], []
+
+    def cheapest(least: int) -> int:
+        fits = rooms >= least
+        return int(np.where(fits, loads, np.inf).argmin()) if fits.any() else -1
+
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[item]
+        while waiting and -waiting[0][0] >= left:
+            r, b = heappop(waiting)
+            if room[b] == -r:
+                heappush(ready, (load[b], b))
         while left:
-            fits = room >= left
-            if not fits.any():
-                fits = room > 0
-                if not fits.any():
+            b = -1
+            if start:
+                b = cheapest(left)
+            else:
+                while ready and b < 0:
+                    known, c = ready[0]
+                    if known == load[c] and room[c] >= left:
+                        b = c
+                    else:
+                        heappop(ready)
+                        if known == load[c]:
+                            heappush(waiting, (-room[c], c))
+            if b < 0:
+                b = cheapest(1)
+                if b < 0:
                     rest.append((item, start, left))
                     break
-            b = int(np.where(fits, load, np.inf).argmin())
-            size = min(left, int(room[b]))
+            size = min(left, room[b])
             placed.append((item, start, size, b))
             room[b] -= size
             load[b] += cost(size)
+            rooms[b], loads[b] = room[b], load[b]
+            heappush(ready, (load[b], b))
             start, left = start + size, left - size
     return placed, rest
 

@@ -174,3 +174,29 @@ def test_chat_runs_no_python(spark, tiny):
 
     plan = QUERIES["op4_chat_format"](spark, tiny)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_balance_follows_the_plain_rule():
+    """Every piece goes where a look at all sequences would put it."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        capacity = rng.choice([7, 64, 2048])
+        lengths = [rng.choice([rng.randint(1, capacity - 1), rng.randint(1, 5), capacity // 2]) for _ in range(rng.randint(0, 60))]
+        bins = rng.choice([sum(lengths) // capacity, -(-sum(lengths) // capacity), 3])
+        room, load, placed, rest = [capacity] * bins, [0.0] * bins, [], []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            start, left = 0, lengths[i]
+            while left:
+                fits = [b for b in range(bins) if room[b] >= left] or [b for b in range(bins) if room[b] > 0]
+                if not fits:
+                    rest.append((i, start, left))
+                    break
+                b = min(fits, key=lambda b: (load[b], b))
+                size = min(left, room[b])
+                placed.append((i, start, size, b))
+                room[b] -= size
+                load[b] += packing.cost(size)
+                start, left = start + size, left - size
+        assert packing.balance(lengths, bins, capacity) == (placed, rest)
