@@ -65,8 +65,7 @@ def _(spark, folder):
     FROM review GROUP BY category""")
 def _(spark, folder):
     reviews = lens.review(spark, folder)
-    path = work_path(spark, "review")
-    reviews.write.json(path)
+    path = io.write_json_lines(reviews, work_path(spark, "review"))
     back = io.read_json_lines(spark, path, reviews.schema)
     return back.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.get("helpful", 0)).alias("found"), F.sum(F.get("helpful", 1)).alias("total"),

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+JSON_FILE_ROWS = 100_000
+
 
 def read_delimited(spark: SparkSession, path: str, schema, sep: str = "\t") -> DataFrame:
     """Headerless delimited text; empty fields become NULL."""
@@ -41,6 +43,12 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = Fa
     return path
 
 
+def write_json_lines(df: DataFrame, path: str, file_rows: int = JSON_FILE_ROWS) -> str:
+    """One JSON object a line, compressed; a file can't be split, so none holds more than ``file_rows`` rows."""
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", file_rows).json(path)
+    return path
+
+
 def write_subset(df: DataFrame, condition, path: str) -> DataFrame:
     """Materialise the rows that meet ``condition`` and return the copy."""
     df.where(condition).write.mode("overwrite").parquet(path)
