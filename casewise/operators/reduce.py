@@ -67,8 +67,12 @@ def kernel_classifier(train: DataFrame, label: str, n: int, cost: float = 1.0, h
 
 
 def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[float], folds: int = 5, seed: int = 100) -> DataFrame:
-    """Mean accuracy per cost; folds come from the key hash."""
-    marked = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).persist()
+    """Mean accuracy per cost; folds come from the key hash.
+
+    Every pass of every fit returns a result per task, so the cached rows lie in a partition for each core, however many there are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    marked = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).coalesce(tasks).persist()
     try:
         total = marked.count()
         n = max(total * (folds - 1) // folds, 1)

@@ -209,3 +209,25 @@ def test_kernel_features_separate_a_ring(spark):
         assert ev.overall_accuracy(called, "y", "p").first()["accuracy"] > 0.9
     table = reduce.cross_validate_grid(mapped, "k", "y", [0.1, 2.0], folds=3).collect()
     assert len(table) == 2 and sum(r["is_best"] for r in table) == 1 and all(r["accuracy"] > 0.6 for r in table)
+
+
+def test_cross_validation_passes_have_a_task_for_each_core(spark, monkeypatch):
+    """What a pass sends to the driver doesn't grow with the partitions of the table."""
+    tasks = []
+
+    class Fitted:
+        avgMetrics = [0.5, 0.6]
+
+    class Spy:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            tasks.append((rows.rdd.getNumPartitions(), rows.count()))
+            return Fitted
+
+    monkeypatch.setattr(reduce, "CrossValidator", Spy)
+    df = spark.range(0, 500, 1, 100).selectExpr("id AS k", "id % 2 AS y")
+    table = reduce.cross_validate_grid(df, "k", "y", [0.1, 2.0]).collect()
+    assert tasks[0][0] <= spark.sparkContext.defaultParallelism and tasks[0][1] == 500
+    assert [r["is_best"] for r in table] == [False, True]
