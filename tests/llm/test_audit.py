@@ -215,3 +215,12 @@ def test_slices_of_a_batch(monkeypatch, spark):
                 got[r["source"], r["term"], "docs"] += r["docs"]
         whole = whole or got
         assert got == whole and got["t", "ab", "docs"] == 1 and got["s", "ab", "n"] == 1 and got["t", "cd", "n"] == 1
+
+
+def test_every_trusted_document_counts(spark):
+    """No bound on the trusted target: far apart in hash or not, all good documents are in it, repeated labels once."""
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    trusted = ngram_ratio.trusted_ids(labels.union(labels))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "'word' AS text").union(spark.createDataFrame([(3, "two words"), (None, "x")], "doc_id long, text string"))
+    raw, target = ngram_ratio.count_buckets(docs, trusted.withColumn("doc_id", F.col("doc_id").cast("int")), 1 << 10)
+    assert (raw.sum(), target.sum()) == (30_004, 25_003)
