@@ -44,6 +44,10 @@ STRAY, FEWEST = 0.05, 12
 SIZE_SHIFT = 31  # sizes and matches are packed into one number
 SEEN_SETS = 100_000
 WANTED_BITS = 1 << 24
+FEW = 4  # a shingle that no more sets have pairs them at once
+BITS = 1 << 28
+SPREAD = (100 + PERCENT) // (100 - PERCENT)  # sets link if they differ in no more than their sizes' sum over this
+RADIUS = 0.5  # the distance up to which a set without a link hangs on a hub
 LARGE_SET, LEADER_SHARE = 200, 8  # of larger sets, one shingle in so many votes for a leader
 STRAY_STEPS = 1000  # a prefix's share of shingles of its own, in so many steps
 LIMIT = 1 - PERCENT / 100 + 1e-9  # the distance of a link, with room for rounding
@@ -147,7 +151,7 @@ def _postings(repeated):
             tokens, sets, packed, places = [], [], [], []
             for row in batch.to_pylist():
                 prefix = np.frombuffer(row["prefix"], "<u8")
-                kept = prefix[passes(repeated.value, prefix)]
+                kept = prefix[passes(repeated.value, prefix, BITS)]
                 tokens.append(kept.view(np.int64))
                 sets += [row["set"]] * len(kept)
                 packed.append(np.full(len(kept), row["n"] << SIZE_SHIFT | row["matches"], np.int64))
@@ -165,38 +169,55 @@ def size_band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int64)
 
 
-def _lead(batches):
-    """Postings sorted by token, place, set: names each one's leader and drops tokens of a single set. Holds one row between batches."""
-    names = ["token", "set", "size", "place", "leader", "leader_size"]
+def _meet(batches):
+    """Postings sorted by token, place, set. Of a token that 2 to ``FEW`` sets have: every two of them whose sizes may link (set, other, asked). Of
+    one that more have: its postings. Holds the last token's postings between batches while they are few, then its last one."""
+    names = ["token", "set", "size", "place", "other", "asked"]
     types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-    carry = None  # the last row: token, set, size, place, its leader and that one's size, whether an earlier row has its token
+    held, told = None, 0  # postings of the last token; how many of them have been told, for there are more than ``FEW``
+
+    def rows(token, sets, size, place, told):
+        """Postings and pairs of whole tokens; ``told``: as many first ones are known to be of a token with many."""
+        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.concatenate([begins, [len(token)]]))
+        if told:
+            count[0] = max(count[0], FEW + 1)
+        count = np.repeat(count, np.diff(np.concatenate([begins, [len(token)]])))
+        out = []
+        many = np.flatnonzero(count > FEW)
+        many = many[many >= told]
+        if len(many):
+            empty = pa.nulls(len(many))
+            out.append(_batch([token[many], sets[many].tolist(), size[many], place[many], empty.cast(pa.binary()), empty.cast(pa.int64())], types, names))
+        n, asked = size >> SIZE_SHIFT, size & ((1 << SIZE_SHIFT) - 1)
+        for step in range(1, FEW):
+            i = np.flatnonzero((count[:-step] <= FEW) & (token[step:] == token[:-step]))
+            i = i[(100 * n[i] >= PERCENT * n[i + step]) & (100 * n[i + step] >= PERCENT * n[i])]
+            if len(i):
+                empty = pa.nulls(len(i))
+                out.append(_batch([empty.cast(pa.int64()), sets[i].tolist(), empty.cast(pa.int64()), empty.cast(pa.int32()), sets[i + step].tolist(),
+                                   np.minimum(asked[i], asked[i + step])], types, names))
+        return out
+
     for batch in batches:
-        token, size, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "size", "place"))
-        sets = np.array(batch.column("set").to_pylist(), object)
-        if not len(token):
+        if not batch.num_rows:
             continue
-        if carry:
-            token, size, place = (np.concatenate([[c], x]) for c, x in zip((carry[0], carry[2], carry[3]), (token, size, place)))
-            sets = np.concatenate([np.array([carry[1]], object), sets])
-        same = np.concatenate([[False], token[1:] == token[:-1]])
-        fresh_row = ~(same & np.concatenate([[False], sets[1:] == sets[:-1]]))
-        token, size, place, sets = token[fresh_row], size[fresh_row], place[fresh_row], sets[fresh_row]
-        same = np.concatenate([[False], token[1:] == token[:-1]])
-        band = place // (STRAY_STEPS + 1)
-        begins = ~(same & np.concatenate([[False], band[1:] == band[:-1]]))
-        leads = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-        leader, leader_size = sets[leads], size[leads]
-        if carry:
-            first = leads == 0
-            leader[first], leader_size[first] = carry[4], carry[5]
-            same[0] = carry[6]
-        shared = same | np.concatenate([same[1:], [False]])
-        carry = (token[-1], sets[-1], size[-1], place[-1], leader[-1], leader_size[-1], bool(same[-1]))
-        out = np.flatnonzero(shared[:-1])
-        if len(out):
-            yield _batch([x[out] for x in (token, sets, size, place, leader, leader_size)], types, names)
-    if carry and carry[6]:
-        yield _batch([[x] for x in carry[:6]], types, names)
+        token, size, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "size", "place"))
+        sets = np.frombuffer(b"".join(batch.column("set").to_pylist()), "V16")
+        if held:
+            token, sets, size, place = (np.concatenate(x) for x in zip(held, (token, sets, size, place)))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])])
+        token, sets, size, place = token[new], sets[new], size[new], place[new]
+        last = int(np.searchsorted(token, token[-1]))
+        if last:
+            yield from rows(token[:last], sets[:last], size[:last], place[:last], told)
+            token, sets, size, place, told = token[last:], sets[last:], size[last:], place[last:], 0
+        if told or len(token) > FEW:
+            yield from rows(token, sets, size, place, told)
+            token, sets, size, place, told = token[-1:], sets[-1:], size[-1:], place[-1:], 1
+        held = token, sets, size, place
+    if held and not told:
+        yield from rows(*held, 0)
 
 
 def _wanted_sets(wanted):
@@ -237,9 +258,8 @@ def _passing(wanted):
     return run
 
 
-def possible_sets(read: DataFrame, shared: DataFrame) -> DataFrame:
-    """(set, values) of all sets that have as many shared prefix shingles as any partner would ask for, written once."""
-    names = cut(_fit(shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))))
+def possible_sets(read: DataFrame, names: DataFrame) -> DataFrame:
+    """(set, values) of the sets in ``names``, written once."""
     wanted = key_filter(names, "set", 1, WANTED_BITS)
     sets = read.mapInArrow(_wanted_sets(wanted), "set binary, values binary").join(names, "set", "left_semi").dropDuplicates(["set"])
     out = write_table(sets)
@@ -289,19 +309,27 @@ def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
     read = docs.select(docs[text].alias("text"))
     prefixes = cut(read.mapInArrow(_prefixes(sketch), "set binary, n long, matches long, prefix binary"))
     sketch.destroy()
-    repeated = key_filter(prefixes, "prefix", 2)
+    repeated = key_filter(prefixes, "prefix", 2, BITS)
     postings = prefixes.mapInArrow(_postings(repeated), "token long, set binary, size long, place int")
     sorted_ = postings.repartition(F.col("token")).sortWithinPartitions("token", "place", "set")
-    shared = write_table(sorted_.mapInArrow(_lead, "token long, set binary, size long, place int, leader binary, leader_size long"))
+    met = write_table(sorted_.mapInArrow(_meet, "token long, set binary, size long, place int, other binary, asked long"))
     repeated.destroy()
-    sets = possible_sets(read, shared)
-    starred = _stars(sets, shared)
+    shared = met.filter("other IS NULL").select("token", "set", "size", "place")
+    pairs = _paired(met.filter("other IS NOT NULL"), shared)
+    alike = cut(_fit(shared.select("set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))))
+    sets = possible_sets(read, cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(alike).distinct()))
+    direct = verify(sets, pairs).filter(LINKED).select("a", "b")
+    shared = write_table(shared.join(alike, "set", "left_semi"))
+    return cut(_between(sets, shared, *_stars(sets, shared), direct))
 
-    centres = starred.select(F.col("b").alias("set")).distinct()
-    # A class that leads is a centre itself; its own link stays a link.
-    rays = cut(starred.join(centres.withColumnRenamed("set", "a"), "a", "left_anti").select(
-        F.col("a").alias("set"), F.col("b").alias("centre"), (1 - F.col("both") / F.col("whole")).alias("far")))
-    return cut(_between(sets, shared, rays, starred.select("a", "b")))
+
+def _paired(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) that have enough shingles in common, if what each has of those of many sets were the other's too."""
+    met = pairs.groupBy(F.col("set").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min("asked").alias("asked"))
+    more = shared.groupBy("set").agg(F.count(F.lit(1)).alias("more"))
+    for c in ("a", "b"):
+        met = met.join(more.select(F.col("set").alias(c), F.col("more").alias("more_" + c)), c, "left")
+    return cut(met.na.fill(0, ["more_a", "more_b"]).filter(F.col("met") + F.least("more_a", "more_b") >= F.col("asked")).select("a", "b"))
 
 
 def _favourites(led: DataFrame) -> DataFrame:
@@ -314,82 +342,147 @@ def _favourites(led: DataFrame) -> DataFrame:
     return met.groupBy("set").agg(F.max(F.struct("met", "leader")).alias("best")).select(F.col("set").alias("a"), F.col("best.leader").alias("b"))
 
 
-def _stars(sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """Links (a, b, both, whole) of classes to leaders. Who leads whom is a guess that verification checks; what it misses is found between the stars."""
-    tried = verify(sets, _favourites(shared))
-    starred, led = tried.filter(LINKED), tried.select("b").distinct()
+def _stars(sets: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, both, whole) of classes to leaders, and all pairs tried for it. Who leads whom is a guess that verification checks; what it
+    misses is found afterwards."""
+    banded = shared.withColumn("band", F.floor(F.col("place") / (STRAY_STEPS + 1)))
+    starred = tried = led = None
     while True:
-        pairs, found = tried.agg(F.count(F.lit(1)), F.count(F.when(F.expr(LINKED), 1))).first()
-        if not pairs or found < WORTH * pairs:
-            return starred
-        # Whoever has no link yet elects again, from those that never led.
-        linked = starred.select(F.col("a").alias("set")).unionByName(starred.select(F.col("b").alias("set"))).distinct()
-        alone = shared.drop("leader", "leader_size").withColumn("band", F.floor(F.col("place") / (STRAY_STEPS + 1))).join(linked, "set", "left_anti")
-        first = alone.join(led.withColumnRenamed("b", "set"), "set", "left_anti").groupBy("token", "band").agg(F.min(F.struct("place", "set", "size")).alias("first"))
-        tried = verify(sets, _favourites(alone.join(first, ["token", "band"]).select(
+        # Whoever has no link yet elects, from those that never led.
+        alone = banded
+        if tried is not None:
+            linked = starred.select(F.col("a").alias("set")).unionByName(starred.select(F.col("b").alias("set"))).distinct()
+            alone = banded.join(linked, "set", "left_anti")
+        first = alone if led is None else alone.join(led.withColumnRenamed("b", "set"), "set", "left_anti")
+        first = first.groupBy("token", "band").agg(F.min(F.struct("place", "set", "size")).alias("first"))
+        now = verify(sets, _favourites(alone.join(first, ["token", "band"]).select(
             "token", "set", "size", F.col("first.set").alias("leader"), F.col("first.size").alias("leader_size"))))
-        starred = cut(starred.unionByName(tried.filter(LINKED)))
-        led = cut(led.unionByName(tried.select("b")).distinct())
-
-
-def _labels(rays: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, centre, root) of all sets with a link; sets of one root are connected."""
-    top = roots(links, "a", "b")
-    nodes = top.unionByName(top.select(F.col("root").alias("node"), "root").distinct())
-    return nodes.withColumnRenamed("node", "set").join(rays.select("set", "centre"), "set", "left").select("set", F.coalesce("centre", "set").alias("centre"), "root")
+        starred = now.filter(LINKED) if starred is None else cut(starred.unionByName(now.filter(LINKED)))
+        led = now.select("b").distinct() if led is None else cut(led.unionByName(now.select("b")).distinct())
+        tried = now if tried is None else cut(tried.unionByName(now))
+        pairs, found = now.agg(F.count(F.lit(1)), F.count(F.when(F.expr(LINKED), 1))).first()
+        if not pairs or found < WORTH * pairs:
+            return starred, tried
 
 
-def _between(sets, shared, rays, links):
-    """All links so far and those found between stars."""
+def _groups(starred: DataFrame, tried: DataFrame) -> DataFrame:
+    """(set, hub, far, linked): sets with a link to their star's centre; and of those without any link, those that have been measured against a hub
+    not too far from them. A class that leads is a centre itself, and its own link stays a link."""
+    centres = starred.select(F.col("b").alias("set")).distinct()
+    far = (1 - F.col("both") / F.col("whole")).alias("far")
+    rays = starred.join(centres.withColumnRenamed("set", "a"), "a", "left_anti").select(F.col("a").alias("set"), F.col("b").alias("hub"), far)
+    rays = rays.groupBy("set").agg(F.min(F.struct("far", "hub")).alias("best")).select("set", "best.hub", "best.far", F.lit(True).alias("linked"))
+    known = centres.unionByName(starred.select(F.col("a").alias("set"))).distinct()
+    near = tried.select(F.col("a").alias("set"), F.col("b").alias("hub"), far).filter(F.col("far") <= RADIUS).join(known, "set", "left_anti")
+    # No set that others have been measured against hangs on one itself.
+    near = near.join(near.select(F.col("hub").alias("set")).distinct(), "set", "left_anti")
+    near = near.groupBy("set").agg(F.min(F.struct("far", "hub")).alias("best")).select("set", "best.hub", "best.far", F.lit(False).alias("linked"))
+    return cut(rays.unionByName(near))
+
+
+def _differences(batches):
+    """A row for each shingle in which a set and its hub differ, with the set's size and debt."""
+    names = ["token", "set", "hub", "linked", "n", "debt", "differences"]
+    types = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        rows, tokens = [], []
+        for row in batch.to_pylist():
+            x, y = np.frombuffer(row["values"], "<u8"), np.frombuffer(row["hub_values"], "<u8")
+            both = np.setxor1d(x, y, assume_unique=True)
+            rows.append((row["set"], row["hub"], row["linked"], len(x), SPREAD * len(both) - len(x), len(both)))
+            tokens.append(both.view(np.int64))
+        if rows:
+            take = pa.array(np.repeat(np.arange(len(rows)), [len(t) for t in tokens]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(pa.array(c, t).take(take) for c, t in zip(zip(*rows), types))], names)
+
+
+def _within(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between sets of one hub of which one at least has no link with the hub.
+
+    x and y share all of the hub but what they differ in from it, so they link exactly if ``2 * SPREAD`` times the differences that they share are as many as their
+    debts together: ``SPREAD`` times the differences less the size of each. A set without a link with the hub owes more than the hub's size, any other set at least
+    minus that: none links with it without a shared difference. So it is enough to join the first differences of each, rare ones first."""
+    if groups.filter("NOT linked").isEmpty():
+        return groups.select(F.col("set").alias("a"), F.col("hub").alias("b")).limit(0)
+    busy = groups.join(groups.filter("NOT linked").select("hub").distinct(), "hub", "left_semi")
+    read = busy.join(sets, "set").join(sets.select(F.col("set").alias("hub"), F.col("values").alias("hub_values")), "hub")
+    apart = write_table(read.select("set", "hub", "linked", "values", "hub_values").mapInArrow(
+        _differences, "token long, set binary, hub binary, linked boolean, n long, debt long, differences long"))
+    least = apart.groupBy("hub").agg(F.min(F.when(F.col("linked"), F.col("debt"))).alias("linked_debt"), F.min(F.when(~F.col("linked"), F.col("debt"))).alias("loose_debt"))
+    turns = apart.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("hub", "token"))).withColumn(
+        "turn", F.row_number().over(Window.partitionBy("set").orderBy("held", "token"))).filter("held > 1").join(least, "hub")
+    # What is shared with a linked set and with a loose one at least.
+    first = lambda debt: F.col("differences") - F.greatest(F.lit(1), F.ceil((F.col("debt") + F.col(debt)) / (2 * SPREAD))) + 1
+    parts = write_table(turns.withColumns({"to_linked": ~F.col("linked") & (F.col("turn") <= first("linked_debt")), "to_loose": F.col("turn") <= first("loose_debt")}).filter(
+        "to_linked OR to_loose").select("hub", "token", "set", "n", "linked", F.coalesce("to_linked", F.lit(False)).alias("to_linked"), "to_loose"))
+    x = parts.filter("NOT linked").select("hub", "token", F.col("set").alias("a"), F.col("n").alias("n_a"), "to_linked", F.col("to_loose").alias("loose_a"))
+    y = parts.filter("to_loose").select("hub", "token", F.col("set").alias("b"), F.col("n").alias("n_b"), "linked")
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
+    either = F.when(F.col("linked"), F.col("to_linked")).otherwise(F.col("loose_a") & (F.col("a") < F.col("b")))
+    return verify(sets, x.join(y, ["hub", "token"]).filter(fits & either).select("a", "b").distinct()).filter(LINKED).select("a", "b")
+
+
+def _between(sets, shared, starred, tried, direct):
+    """All links so far and those found within and between the groups of hubs."""
+    groups = _groups(starred, tried)
+    links = cut(starred.select("a", "b").unionByName(direct).unionByName(_within(sets, groups)))
     placed = shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))
-    placed = placed.join(_labels(rays, links), "set", "left").withColumns({c: F.coalesce(c, "set") for c in ("centre", "root")})
-    # Only shingles that sets of several roots have; and of those only sets that have as many as any partner would ask for.
+    placed = placed.join(_rooted(shared.select("set").distinct(), links).join(groups.select("set", "hub"), "set", "left"), "set").withColumn("hub", F.coalesce("hub", "set"))
+    # Only shingles that sets of several groups have; and of those only sets that have as many as any partner would ask for.
     ends = Window.partitionBy("token")
-    mixed = placed.repartition(F.col("token")).withColumn("several", F.min("root").over(ends) != F.max("root").over(ends)).filter("several").drop("several")
-    mixed = write_table(mixed)
-    placed = cut(mixed.join(_fit(mixed), "set", "left_semi").groupBy("token", "centre", "root").agg(
-        F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high")))
-    x = placed.select("token", *(F.col(c).alias(c + "_a") for c in ("centre", "root", "asked", "low", "high")))
-    y = placed.select("token", *(F.col(c).alias(c + "_b") for c in ("centre", "root", "asked", "low", "high")))
+    several = (F.min("root").over(ends) != F.max("root").over(ends)) & (F.min("hub").over(ends) != F.max("hub").over(ends))
+    mixed = write_table(placed.repartition(F.col("token")).withColumn("several", several).filter("several").drop("several"))
+    placed = cut(mixed.join(_fit(mixed), "set", "left_semi").groupBy("token", "hub").agg(
+        F.min("asked").alias("asked"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root"), F.max("root").alias("top")))
+    x = placed.select("token", *(F.col(c).alias(c + "_a") for c in ("hub", "root", "top", "asked", "low", "high")))
+    y = placed.select("token", *(F.col(c).alias(c + "_b") for c in ("hub", "root", "top", "asked", "low", "high")))
     fits = (F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT)
-    pairs = x.join(y, "token").filter((F.col("centre_a") < F.col("centre_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    pairs = pairs.groupBy("centre_a", "centre_b").agg(
+    differ = (F.col("root_a") != F.col("root_b")) | (F.col("top_a") != F.col("top_b")) | (F.col("root_a") != F.col("top_a"))
+    pairs = x.join(y, "token").filter((F.col("hub_a") < F.col("hub_b")) & differ & fits)
+    pairs = pairs.groupBy("hub_a", "hub_b").agg(
         F.count(F.lit(1)).alias("met"), F.least(F.min("asked_a"), F.min("asked_b")).alias("asked")).filter("met >= asked")
-    measured = verify(sets, pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))
+    measured = verify(sets, pairs.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")))
     links = cut(links.unionByName(measured.filter(LINKED).select("a", "b")))
 
-    # Members of two stars can link only if their centres are near enough for it.
-    reach = rays.groupBy(F.col("centre").alias("set")).agg(F.max("far").alias("far"))
-    apart = measured.filter(f"NOT ({LINKED})").withColumn("gap", 1 - F.col("both") / F.col("whole"))
-    apart = apart.join(reach.select(F.col("set").alias("a"), F.col("far").alias("far_a")), "a", "left")
-    apart = apart.join(reach.select(F.col("set").alias("b"), F.col("far").alias("far_b")), "b", "left").na.fill(0.0, ["far_a", "far_b"])
-    near = _unconnected(apart.filter((F.col("far_a") + F.col("far_b") > 0) & (F.col("gap") <= F.col("far_a") + F.col("far_b") + LIMIT)), links)
-    near = cut(near.select("a", "b", "gap", "far_a", "far_b"))
-    if near.isEmpty():
+    # Sets of two groups can link only if their hubs are near enough for it. A hub that others hang on without a link is no member of theirs.
+    members = groups.select("hub", "set", "far", "linked")
+    hubs = measured.select(F.col("a").alias("hub")).unionByName(measured.select(F.col("b").alias("hub"))).distinct()
+    members = cut(members.unionByName(hubs.select("hub", F.col("hub").alias("set"), F.lit(0.0).alias("far"), F.lit(True).alias("linked"))).join(
+        hubs, "hub", "left_semi"))
+    reach = members.groupBy("hub").agg(F.max("far").alias("far"), F.max(F.when(~F.col("linked"), F.col("far"))).alias("loose"))
+    apart = measured.withColumn("gap", 1 - F.col("both") / F.col("whole")).select("a", "b", "gap")
+    turned = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    turned = turned.join(reach.select(F.col("hub").alias("b"), "far", "loose"), "b").withColumnsRenamed({"far": "far_b", "loose": "loose_b"})
+    tops = _rooted(hubs.withColumnRenamed("hub", "set"), links)
+    for c in ("a", "b"):
+        turned = turned.join(tops.select(F.col("set").alias(c), F.col("root").alias("root_" + c)), c)
+    # Of two connected hubs, only those hang on them without a link may be apart.
+    turned = turned.withColumn("one", F.col("root_a") == F.col("root_b")).drop("root_a", "root_b")
+    crossing = members.select(F.col("hub").alias("a"), F.col("set").alias("x"), F.col("far").alias("far_x"), "linked").join(turned, "a").filter(
+        F.col("gap") <= F.col("far_x") + F.when(F.col("one") & F.col("linked"), F.col("loose_b")).otherwise(F.col("far_b")) + LIMIT)
+    crossing = cut(crossing.filter("x <> a").select("a", "b", "x", "far_x", "far_b"))
+    if crossing.isEmpty():
         return links
 
-    # Members against the other star's centre.
-    turned = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap", F.col("far_b").alias("far_a"), F.col("far_a").alias("far_b")))
-    crossing = rays.select(F.col("centre").alias("a"), F.col("set").alias("x"), F.col("far").alias("far_x")).join(turned, "a").filter(
-        F.col("gap") <= F.col("far_x") + F.col("far_b") + LIMIT)
+    # Members against the other group's hub.
     away = verify(sets, crossing.select(F.col("x").alias("a"), "b").distinct())
     links = cut(links.unionByName(away.filter(LINKED).select("a", "b")))
 
-    # Pairs of members of stars that are still apart.
+    # Pairs of members that are still apart.
     away = away.select(F.col("a").alias("x"), "b", (1 - F.col("both") / F.col("whole")).alias("off"))
-    members = crossing.join(away, ["x", "b"]).filter(F.col("off") <= F.col("far_b") + LIMIT).select("a", "b", "x", "far_x", "off")
-    left = _unconnected(near, links).select("a", "b").join(members, ["a", "b"])
-    right = members.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("x").alias("y"), F.col("far_x").alias("far_y"), F.col("off").alias("off_y"))
-    both = left.join(right, ["a", "b"]).filter((F.col("off") <= F.col("far_y") + LIMIT) & (F.col("off_y") <= F.col("far_x") + LIMIT))
+    near = crossing.join(away, ["x", "b"]).filter(F.col("off") <= F.col("far_b") + LIMIT)
+    near = cut(near.join(_rooted(near.select(F.col("x").alias("set")).distinct(), links).withColumnRenamed("set", "x"), "x"))
+    left = near.select("a", "b", "x", "far_x", "off", F.col("root").alias("root_x"))
+    right = near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("x").alias("y"), F.col("far_x").alias("far_y"), F.col("off").alias("off_y"), F.col("root").alias("root_y"))
+    both = left.filter("a < b").join(right, ["a", "b"]).filter(
+        (F.col("off") <= F.col("far_y") + LIMIT) & (F.col("off_y") <= F.col("far_x") + LIMIT) & (F.col("root_x") != F.col("root_y")))
     found = verify(sets, both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).filter(LINKED)
     return links.unionByName(found.select("a", "b"))
 
 
-def _unconnected(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b, …) that ``links`` don't connect."""
-    top = roots(links, "a", "b")
-    of = lambda c: top.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+def _rooted(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(set, root) of the sets in ``names``; sets of one root are connected by ``links``."""
+    return names.join(roots(links, "a", "b").withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
 def _linked(docs: DataFrame, text: str, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from casewise.llm import exact_dedup, ngram_join, passages
+from casewise.llm import bounded_filter, exact_dedup, ngram_join, passages
 from casewise.llm.components import roots
 from casewise.llm.queries import ORACLES
 from casewise.llm.shingles import combine, word_hashes
@@ -107,6 +107,90 @@ def test_near_chains(spark, partitions):
     assert got == components(rows)
 
 
+def counted(monkeypatch):
+    """The numbers of pairs that ``ngram_join`` verifies, call by call."""
+    sizes, verify = [], ngram_join.verify
+
+    def count(sets, pairs):
+        sizes.append(pairs.count())
+        return verify(sets, pairs)
+
+    monkeypatch.setattr(ngram_join, "verify", count)
+    return sizes
+
+
+def test_near_group_with_loose_copies(spark, monkeypatch):
+    """Copies beyond the threshold around one source, some of which link with each other: found without a pair for each two, in proportion to the copies."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+
+    def edited(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = f"n{rng.random()}"
+        return words
+
+    rows = [base, *(edited(base, k) for _ in range(120) for k in (1, 6))]
+    rows = [" ".join(r) for r in [*rows, *(edited(words, 1) for words in rows[2:60:2])]]
+    values = [np.unique(combine(*word_hashes([r])[:2])[0]) for r in rows]
+    names = [ngram_join.fingerprint(v) for v in values]
+
+    def far(i, j):
+        both = len(np.intersect1d(values[i], values[j]))
+        return 1 - both / (len(values[i]) + len(values[j]) - both)
+
+    sets = spark.createDataFrame([(n, v.tobytes()) for n, v in zip(names, values)], "set binary, values binary")
+    groups = spark.createDataFrame([(names[i], names[0], far(i, 0), far(i, 0) <= 0.2) for i in range(1, len(rows))], "set binary, hub binary, far double, linked boolean")
+    sizes, place = counted(monkeypatch), {n: i for i, n in enumerate(names)}
+    got = {tuple(sorted((place[bytes(r.a)], place[bytes(r.b)]))) for r in ngram_join._within(sets, groups).collect()}
+    loose = [i for i in range(1, len(rows)) if far(i, 0) > 0.2]
+    assert len(loose) >= 120 and got == {tuple(sorted((i, j))) for i in loose for j in range(1, len(rows)) if i != j and far(i, j) <= 0.2} and len(got) >= 25
+    assert sizes[0] <= 5 * len(rows)
+
+
+def test_shingles_that_few_have_by_chance(spark, monkeypatch):
+    """Texts of a small vocabulary share shingles by chance: no such pair is verified, and their postings go no further."""
+    rng = random.Random(12)
+    rows = [" ".join(str(rng.randrange(9)) for _ in range(160)) for _ in range(300)]
+    rows += [r.replace(" 3 ", " x ", 1) for r in rows[:20]]
+    rows, held, fit = list(enumerate(rows)), [], ngram_join._fit
+    monkeypatch.setattr(ngram_join, "_fit", lambda placed: held.append(placed.count()) or fit(placed))
+    sizes = counted(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs).collect()} == components(rows)
+    assert sum(sizes) <= 4 * 20 and max(held) <= 100
+
+
+def test_meetings_across_batches():
+    """Batches cut tokens anywhere: few sets make pairs, many make postings, repeated rows count once."""
+    import pyarrow as pa
+
+    rng, rows = random.Random(13), []
+    for token in range(60):
+        for i in rng.sample(range(40), rng.choice([1, 1, 2, 3, 4, 5, 9, 30])):
+            rows += [(token, i.to_bytes(16, "big"), (50 + i % 30) << ngram_join.SIZE_SHIFT | 1 + i % 5, i // 8)] * rng.choice([1, 1, 3])
+    rows.sort(key=lambda r: (r[0], r[3], r[1]))
+    by = defaultdict(dict)
+    for token, name, size, place in rows:
+        by[token][name] = size, place
+    pairs, postings = [], []
+    for token, sets in by.items():
+        if len(sets) > ngram_join.FEW:
+            postings += [(token, n, *v) for n, v in sets.items()]
+        names = list(sets) if len(sets) <= ngram_join.FEW else []
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                (x, p), (y, q) = (divmod(sets[n][0], 1 << ngram_join.SIZE_SHIFT) for n in (a, b))
+                if 100 * x >= 80 * y and 100 * y >= 80 * x:
+                    pairs.append((a, b, min(p, q)))
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+    for width in (1, 2, 7, 100, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + width]), types)], ["token", "set", "size", "place"]) for i in range(0, len(rows), width)]
+        out = [r for b in ngram_join._meet(batches) for r in b.to_pylist()]
+        assert sorted((r["set"], r["other"], r["asked"]) for r in out if r["other"]) == sorted(pairs)
+        assert sorted((r["token"], r["set"], r["size"], r["place"]) for r in out if not r["other"]) == sorted(postings)
+
+
 def test_near_edges(edge, nothing):
     got = ngram_join.link_documents(edge).collect()
     assert len(got) == edge.count()
@@ -154,6 +238,15 @@ def test_components(spark):
     assert got == {i: find(i) for i in top if find(i) != i}
 
 
+def test_gaps_of_cells():
+    rng = np.random.default_rng(8)
+    for cells in ([], [0], [65534], [65535], [65536], [0, 65535, 131070, 131071, 4_000_000], np.unique(rng.integers(0, 1 << 22, 16_000)), np.unique(rng.integers(0, 1 << 22, 9))):
+        cells = np.asarray(cells, np.int64)
+        packed = bounded_filter.pack_gaps(cells)
+        assert bounded_filter.unpack_gaps(packed).tolist() == cells.tolist()
+        assert len(cells) < 1000 or len(packed) < 2.1 * len(cells)
+
+
 def test_shingles_follow_words():
     texts = ["A b  c\td e f", None, "", "x y", "a B C d e F", "😀 é a b c d"]
     hashes, owner, _, _ = word_hashes(texts)
