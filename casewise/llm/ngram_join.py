@@ -7,13 +7,15 @@ estimated cost of its candidates. A pair needs as many matches as the smaller L
 
 1. Documents of the same set form a class, told by a 128-bit fingerprint; a sketch of fixed size counts shingles.
 2. Each class writes its prefix; shingles in no other prefix are dropped by a bitmap of fixed size before anything is shuffled.
-3. Stars: within a prefix shingle (and a size band), the class leads whose prefix has the smallest share of shingles that no other prefix
+3. A shingle that at most ``FEW`` sets have pairs these at once. A pair met so is verified if it has matches enough, supposing that what
+   both have of the other shared shingles is common to them. What follows is for pairs that meet only in shingles that more sets have.
+4. Stars: within such a shingle and a size band, the class leads whose prefix has the smallest share of shingles that no other prefix
    has: of a text and its edited copies, that is the text. Each class is verified against the leader it shares most with, so a group of
    thousands of near copies becomes a star of as many pairs. Classes without a link elect new leaders among themselves, as long as
-   that links a good part of them.
-4. What is left are pairs of stars not yet connected that share enough prefix shingles. Their centres are verified. Where the
-   triangle inequality of the Jaccard distance leaves a link of members possible, the members are verified against the other
-   centre; if the stars are still apart, so are the pairs of members that these distances leave possible. Every pair that may link
+   that links a good part of them; in the end they hang on a leader that they have been measured against, if it isn't too far.
+5. Sets that hang on one hub meet by the rare ones of their differences from it. Hubs whose groups share enough prefix shingles are
+   verified. Where the triangle inequality of the Jaccard distance leaves a link of members possible, the members are verified
+   against the other hub; so are the pairs of members still apart that these distances leave possible. Every pair that may link
    is verified or already connected, so components are exact.
 
 Nothing is collected but the sketch and bitmaps, whose sizes are fixed.
