@@ -20,14 +20,26 @@ def _hang(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("v") > F.col("u")).distinct()
 
 
-def roots(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for all nodes that have a link; a root is the smallest node of its component and isn't listed itself."""
-    edges = cut(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter(F.col("v") > F.col("u")).distinct())
-    state = None
-    while True:
+def _done(edges: DataFrame) -> bool:
+    """Does every node hang on one other, and nothing on that node?"""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("u").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter(
+        (F.col("hangs") > 1) | (F.col("hangs") > 0) & (F.col("holds") > 0)).isEmpty()
+
+
+def roots(links: DataFrame, a: str, b: str, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) for all nodes that have a link; a root is the smallest node of its component and isn't listed itself.
+
+    ``known``: what this gave for earlier links, to which ``links`` are added; only the roots that they connect are looked at again."""
+    ends = links.select(F.col(a).alias("v"), F.col(b).alias("u"))
+    for c in ("v", "u") if known is not None else ():
+        ends = ends.join(known.select(F.col("node").alias(c), F.col("root").alias("root_" + c)), c, "left").withColumn(c, F.coalesce("root_" + c, c)).select("v", "u")
+    edges = cut(ends.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).filter(F.col("v") > F.col("u")).distinct())
+    while not _done(edges):
         edges = cut(_hang(_hang(edges, True), False))
-        # All nodes hang on a root when no parent has a parent; the sum tells a further change.
-        new = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-        if new == state:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        state = new
+    found = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    if known is None or found.isEmpty():
+        return found if known is None else known
+    higher = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(known.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(found))

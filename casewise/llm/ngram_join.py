@@ -102,7 +102,7 @@ def _add_counts(batches):
             part = np.frombuffer(zlib.decompress(row["counts"]), "<u4").astype(np.int64)
             sums[row["slice"]] = sums[row["slice"]] + part if row["slice"] in sums else part
     for s, total in sums.items():
-        yield _batch([[s], [total.tobytes()]], (pa.int32(), pa.binary()), ["slice", "counts"])
+        yield _batch([[s], [zlib.compress(total.tobytes(), 1)]], (pa.int32(), pa.binary()), ["slice", "counts"])
 
 
 def _cells(values: np.ndarray) -> np.ndarray:
@@ -274,7 +274,7 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = cut(pairs.select("a", "b"))
     if pairs.isEmpty():
         return pairs.select("a", "b", F.lit(0).cast("long").alias("both"), F.lit(1).cast("long").alias("whole"))
-    names = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    names = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
     wanted = key_filter(names, "set", 1, WANTED_BITS)
     sets = sets.mapInArrow(_passing(wanted), "set binary, values binary")
     left = sets.select(F.col("set").alias("a"), F.col("values").alias("values_a"))
@@ -301,13 +301,13 @@ def survey(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, object]:
     found = cut(read.mapInArrow(_survey, "id long, mark long, n long, set binary, slice int, counts binary"))
     parts = found.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, counts binary")
     sketch, width = np.zeros(1 << SKETCH_BITS, np.int64), (1 << SKETCH_BITS) // SLICES
-    for row in parts.collect():  # SLICES rows of a fixed size
-        sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
+    for row in parts.collect():  # SLICES rows of at most a fixed size
+        sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return found.filter("slice IS NULL").select("id", "mark", "n", "set"), docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
 
 
-def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
-    """Links between classes (a, b), enough to connect all that are connected."""
+def class_roots(docs: DataFrame, sketch, text: str) -> DataFrame:
+    """(node, root) of the classes that links connect, as ``roots`` gives them."""
     read = docs.select(docs[text].alias("text"))
     prefixes = cut(read.mapInArrow(_prefixes(sketch), "set binary, n long, matches long, prefix binary"))
     sketch.destroy()
@@ -322,7 +322,7 @@ def class_links(docs: DataFrame, sketch, text: str) -> DataFrame:
     sets = possible_sets(read, cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(alike).distinct()))
     direct = verify(sets, pairs).filter(LINKED).select("a", "b")
     shared = write_table(shared.join(alike, "set", "left_semi"))
-    return cut(_between(sets, shared, *_stars(sets, shared), direct))
+    return _between(sets, shared, *_stars(sets, shared), direct)
 
 
 def _paired(pairs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -425,11 +425,11 @@ def _within(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _between(sets, shared, starred, tried, direct):
-    """All links so far and those found within and between the groups of hubs."""
+    """Roots by all links so far and those found within and between the groups of hubs."""
     groups = _groups(starred, tried)
-    links = cut(starred.select("a", "b").unionByName(direct).unionByName(_within(sets, groups)))
+    top = roots(starred.select("a", "b").unionByName(direct).unionByName(_within(sets, groups)), "a", "b")
     placed = shared.select("token", "set", F.shiftright("size", SIZE_SHIFT).alias("n"), _matches("size").alias("asked"))
-    placed = placed.join(_rooted(shared.select("set").distinct(), links).join(groups.select("set", "hub"), "set", "left"), "set").withColumn("hub", F.coalesce("hub", "set"))
+    placed = placed.join(_rooted(shared.select("set").distinct(), top).join(groups.select("set", "hub"), "set", "left"), "set").withColumn("hub", F.coalesce("hub", "set"))
     # Only shingles that sets of several groups have; and of those only sets that have as many as any partner would ask for.
     ends = Window.partitionBy("token")
     several = (F.min("root").over(ends) != F.max("root").over(ends)) & (F.min("hub").over(ends) != F.max("hub").over(ends))
@@ -444,7 +444,7 @@ def _between(sets, shared, starred, tried, direct):
     pairs = pairs.groupBy("hub_a", "hub_b").agg(
         F.count(F.lit(1)).alias("met"), F.least(F.min("asked_a"), F.min("asked_b")).alias("asked")).filter("met >= asked")
     measured = verify(sets, pairs.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")))
-    links = cut(links.unionByName(measured.filter(LINKED).select("a", "b")))
+    top = roots(measured.filter(LINKED), "a", "b", top)
 
     # Sets of two groups can link only if their hubs are near enough for it. A hub that others hang on without a link is no member of theirs.
     members = groups.select("hub", "set", "far", "linked")
@@ -455,7 +455,7 @@ def _between(sets, shared, starred, tried, direct):
     apart = measured.withColumn("gap", 1 - F.col("both") / F.col("whole")).select("a", "b", "gap")
     turned = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
     turned = turned.join(reach.select(F.col("hub").alias("b"), "far", "loose"), "b").withColumnsRenamed({"far": "far_b", "loose": "loose_b"})
-    tops = _rooted(hubs.withColumnRenamed("hub", "set"), links)
+    tops = _rooted(hubs.withColumnRenamed("hub", "set"), top)
     for c in ("a", "b"):
         turned = turned.join(tops.select(F.col("set").alias(c), F.col("root").alias("root_" + c)), c)
     # Of two connected hubs, only those hang on them without a link may be apart.
@@ -464,34 +464,33 @@ def _between(sets, shared, starred, tried, direct):
         F.col("gap") <= F.col("far_x") + F.when(F.col("one") & F.col("linked"), F.col("loose_b")).otherwise(F.col("far_b")) + LIMIT)
     crossing = cut(crossing.filter("x <> a").select("a", "b", "x", "far_x", "far_b"))
     if crossing.isEmpty():
-        return links
+        return top
 
     # Members against the other group's hub.
     away = verify(sets, crossing.select(F.col("x").alias("a"), "b").distinct())
-    links = cut(links.unionByName(away.filter(LINKED).select("a", "b")))
+    top = roots(away.filter(LINKED), "a", "b", top)
 
     # Pairs of members that are still apart.
     away = away.select(F.col("a").alias("x"), "b", (1 - F.col("both") / F.col("whole")).alias("off"))
     near = crossing.join(away, ["x", "b"]).filter(F.col("off") <= F.col("far_b") + LIMIT)
-    near = cut(near.join(_rooted(near.select(F.col("x").alias("set")).distinct(), links).withColumnRenamed("set", "x"), "x"))
+    near = cut(near.join(_rooted(near.select(F.col("x").alias("set")).distinct(), top).withColumnRenamed("set", "x"), "x"))
     left = near.select("a", "b", "x", "far_x", "off", F.col("root").alias("root_x"))
     right = near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("x").alias("y"), F.col("far_x").alias("far_y"), F.col("off").alias("off_y"), F.col("root").alias("root_y"))
     both = left.filter("a < b").join(right, ["a", "b"]).filter(
         (F.col("off") <= F.col("far_y") + LIMIT) & (F.col("off_y") <= F.col("far_x") + LIMIT) & (F.col("root_x") != F.col("root_y")))
     found = verify(sets, both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).filter(LINKED)
-    return links.unionByName(found.select("a", "b"))
+    return roots(found, "a", "b", top)
 
 
-def _rooted(names: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, root) of the sets in ``names``; sets of one root are connected by ``links``."""
-    return names.join(roots(links, "a", "b").withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+def _rooted(names: DataFrame, top: DataFrame) -> DataFrame:
+    """(set, root) of the sets in ``names``; ``top``: (node, root) of those that aren't roots themselves."""
+    return names.join(top.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
 def _linked(docs: DataFrame, text: str, key: str) -> DataFrame:
     """id, mark, n and component_id of every row."""
     members, sketch = survey(docs, text, key)
-    top = roots(class_links(docs, sketch, text), "a", "b")
-    some = members.filter("n > 0").join(top.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    some = _rooted(members.filter("n > 0"), class_roots(docs, sketch, text))
     least = some.groupBy("root").agg(F.min("id").alias("component_id"))
     out = some.join(least, "root").select("id", "mark", "n", "component_id")
     return out.unionByName(members.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))

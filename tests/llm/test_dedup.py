@@ -238,6 +238,43 @@ def test_components(spark):
     assert got == {i: find(i) for i in top if find(i) != i}
 
 
+def test_components_grow(spark):
+    """Links added to known components: the same roots as from all links at once; where they connect nothing new, no star is drawn again."""
+    rng = random.Random(21)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(i + 1, i) for i in range(300, 330)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    told = lambda top: {r.node: r.root for r in top.collect()}
+    known, whole = roots(frame(links[::2]), "a", "b"), told(roots(frame(links), "a", "b"))
+    assert told(roots(frame(links[1::2]), "a", "b", known)) == whole
+    known = roots(frame(links), "a", "b")
+    assert roots(frame(links[:50]), "a", "b", known) is known and told(known) == whole
+
+
+def test_few_jobs_for_a_star(spark):
+    """What hangs on one node already needs no round: every job's plan takes the driver's memory."""
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    links, before = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long"), jobs()
+    assert {(r.node, r.root) for r in roots(links, "a", "b").collect()} == {(i, 0) for i in range(1, 40)}
+    assert jobs() - before <= 10
+
+
+def test_bitmap_to_the_driver(spark, monkeypatch):
+    """Bitmaps travel compressed, so that one with few cells takes little of the driver's memory."""
+    frame = type(spark.range(0))
+    collect, sizes = frame.collect, []
+
+    def seen(self):
+        rows = collect(self)
+        sizes.extend(len(r["bitmap"]) for r in rows if "bitmap" in self.columns)
+        return rows
+
+    monkeypatch.setattr(frame, "collect", seen)
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    found = bounded_filter.key_filter(spark.createDataFrame([(k.tobytes(),) for k in (keys, keys[:2500])], "key binary"), "key", 2)
+    assert bounded_filter.passes(found.value, keys[:2500]).all() and bounded_filter.passes(found.value, keys[2500:]).sum() <= 2
+    assert sum(sizes) <= 200_000
+
+
 def test_gaps_of_cells():
     rng = np.random.default_rng(8)
     for cells in ([], [0], [65534], [65535], [65536], [0, 65535, 131070, 131071, 4_000_000], np.unique(rng.integers(0, 1 << 22, 16_000)), np.unique(rng.integers(0, 1 << 22, 9))):
