@@ -398,6 +398,31 @@ def test_phrases_that_stand_elsewhere(phrase):
         assert covered >= {*range(56), *range(60, 116)}
 
 
+def test_texts_are_read_five_times(spark, monkeypatch):
+    """Members and windows' keys, windows, texts of pairs, runs' cells, packs: no further pass, for the exact search has its anchors from the windows' bitmap."""
+    rng = random.Random(31)
+    line = " ".join(f"l{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(80)) + " " + line) for i in range(6)]
+    frame = type(spark.range(0))
+    run, passed = frame.mapInArrow, []
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a: passed.append(f) or run(self, f, *a) if "text" in self.columns else run(self, f, *a))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6)) and all(r.n_words >= 60 for r in got) and len(passed) == 5
+
+
+def test_fingerprints_of_chunks():
+    """All texts of a chunk at once, as one by one; the halves have the names' order."""
+    rng = np.random.default_rng(17)
+    values, cuts = rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2), np.array([0, 0, 7, 300, 300, 899, 900])
+    names = passages.fingerprints(values, cuts)
+    for name, a, b in zip(names, cuts[:-1], cuts[1:]):
+        turn = np.arange(1, b - a + 1, dtype=np.uint64)
+        assert name.tolist() == [int(passages.mix(values[a:b] + turn * np.uint64(k)).sum(dtype=np.uint64)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    assert passages._names(names).to_pylist() == [n.tobytes() for n in names]
+    order = rng.integers(0, 1 << 63, (50, 2), dtype=np.uint64) * np.uint64(2)
+    assert np.argsort(passages._halves(order.astype(">u8"))).tolist() == sorted(range(50), key=lambda i: order[i].astype(">u8").tobytes())
+
+
 def test_recall_of_near_passages(spark):
     """Planted near copies of 51 words at 0.81 to 0.83, with one word changed or put in anywhere but at the edges: all but a few are found."""
     rng, rows = random.Random(9), []
