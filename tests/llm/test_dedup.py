@@ -399,7 +399,7 @@ def test_phrases_that_stand_elsewhere(phrase):
 
 
 def test_texts_are_read_five_times(spark, monkeypatch):
-    """Members and windows' keys, windows, texts of pairs, runs' cells, packs: no further pass, for the exact search has its anchors from the windows' bitmap."""
+    """Members and windows' keys, windows, texts of pairs, runs' cells, packs: no further pass, for the anchors' keys come with the windows'."""
     rng = random.Random(31)
     line = " ".join(f"l{i}" for i in range(60))
     rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(80)) + " " + line) for i in range(6)]
