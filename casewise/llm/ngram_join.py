@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewise.llm.bounded_filter import key_filter, passes
-from casewise.llm.common import cut, fresh, write_table
+from casewise.llm.common import cut, fresh, small_batches, write_table
 from casewise.llm.components import roots
 from casewise.llm.shingles import mix, shingle_sets
 
@@ -489,8 +489,10 @@ def _rooted(names: DataFrame, top: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, text: str, key: str) -> DataFrame:
     """id, mark, n and component_id of every row."""
-    members, sketch = survey(docs, text, key)
-    some = _rooted(members.filter("n > 0"), class_roots(docs, sketch, text))
+    with small_batches(docs.sparkSession):  # all that goes through Python is written or collected in here
+        members, sketch = survey(docs, text, key)
+        top = class_roots(docs, sketch, text)
+    some = _rooted(members.filter("n > 0"), top)
     least = some.groupBy("root").agg(F.min("id").alias("component_id"))
     out = some.join(least, "root").select("id", "mark", "n", "component_id")
     return out.unionByName(members.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))

@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from casewise.llm import bounded_filter, exact_dedup, ngram_join, passages
+from casewise.llm import bounded_filter, common, exact_dedup, ngram_join, passages, shingles
 from casewise.llm.components import roots
 from casewise.llm.queries import ORACLES
-from casewise.llm.shingles import combine, word_hashes
+from casewise.llm.shingles import combine, shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -275,6 +277,46 @@ def test_bitmap_to_the_driver(spark, monkeypatch):
     assert sum(sizes) <= 200_000
 
 
+def test_wide_rows_go_to_python_in_small_batches(spark):
+    """Whatever rows weigh, a batch has a few MB: the JVM and the Python workers hold several at once."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["n", "size"])
+
+    wide, before = spark.range(0, 600, 1, 1).selectExpr("repeat('x', 20000) AS text"), spark.conf.get(common.ARROW_BYTES)
+    with common.small_batches(spark):
+        found = wide.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 600 and max(r["size"] for r in found) <= 1.1 * common.BATCH_BYTES
+    assert spark.conf.get(common.ARROW_BYTES) == before
+
+
+def test_near_runs_in_small_batches(spark, monkeypatch):
+    """All of the join that goes through Python runs while batches are bounded; the session's own setting is back afterwards."""
+    frame, seen, before = type(spark.range(0)), [], spark.conf.get(common.ARROW_BYTES)
+    for name in ("checkpoint", "collect", "mapInArrow"):
+        def watched(self, *a, method=getattr(frame, name), **b):
+            seen.append(spark.conf.get(common.ARROW_BYTES))
+            return method(self, *a, **b)
+
+        monkeypatch.setattr(frame, name, watched)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "others")], "doc_id long, text string")
+    out = ngram_join.link_documents(docs)
+    assert seen and set(seen) == {str(common.BATCH_BYTES)} and spark.conf.get(common.ARROW_BYTES) == before
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_sets_take_little_memory(monkeypatch):
+    """A worker keeps what it has once taken; many texts at a time took more than 50 MB."""
+    monkeypatch.setattr(shingles, "_powers", {})
+    texts = [" ".join(f"w{i + j}" for j in range(400)) for i in range(2000)]
+    tracemalloc.start()
+    n = sum(len(values) for values in shingle_sets(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 396 and most < 40e6
+
+
 def test_gaps_of_cells():
     rng = np.random.default_rng(8)
     for cells in ([], [0], [65534], [65535], [65536], [0, 65535, 131070, 131071, 4_000_000], np.unique(rng.integers(0, 1 << 22, 16_000)), np.unique(rng.integers(0, 1 << 22, 9))):
