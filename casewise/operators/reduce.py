@@ -18,6 +18,7 @@ from casewise.functions.hashing import key_hash
 
 
 ITERATIONS = 30
+FITS_AT_ONCE = 2
 
 
 def fit_pca(df: DataFrame, array_col: str, k: int):
@@ -70,6 +71,7 @@ def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[flo
     """Mean accuracy per cost; folds come from the key hash.
 
     Every pass of every fit returns a result per task, so the cached rows lie in a partition for each core, however many there are.
+    Each fit that runs caches its training rows once more, so no more than ``FITS_AT_ONCE`` run.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
     marked = df.withColumn("_fold", (key_hash(seed, key) % folds).cast("int")).coalesce(tasks).persist()
@@ -80,7 +82,7 @@ def cross_validate_grid(df: DataFrame, key: str, label: str, costs: Sequence[flo
         grid = ParamGridBuilder().addGrid(learner.regParam, [1.0 / (c * n) for c in costs]).build()
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         fitted = CrossValidator(
-            estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=4
+            estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=FITS_AT_ONCE
         ).fit(marked)
     finally:
         marked.unpersist()

@@ -384,7 +384,6 @@ def _(spark, folder):
 
 @query("cross_validate_grid")
 def _(spark, folder):
-    sample = ev.split_stratified(lens.vec(spark, folder), "vec_id", "digit", 0.2, SEED).where("is_train")
     width = _width(spark, folder)
-    rows = reduce.fourier_features(sample, "pixels", width, 96, 1.0 / width, SEED).drop("pixels")
+    rows = reduce.fourier_features(lens.vec(spark, folder), "pixels", width, 96, 1.0 / width, SEED).drop("pixels")
     return tidy(reduce.cross_validate_grid(rows, "vec_id", "digit", [0.1, 0.5, 1.0, 2.0]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewise.functions.significance import t_two_sided, z_two_sided
 from casewise.operators import evaluate as ev
 from casewise.operators import linear, logistic, reduce
+from casewise.plans import load
 
 
 def frame(spark, **columns):
@@ -231,3 +232,18 @@ def test_cross_validation_passes_have_a_task_for_each_core(spark, monkeypatch):
     table = reduce.cross_validate_grid(df, "k", "y", [0.1, 2.0]).collect()
     assert tasks[0][0] <= spark.sparkContext.defaultParallelism and tasks[0][1] == 500
     assert [r["is_best"] for r in table] == [False, True]
+
+
+def test_the_grid_is_fitted_on_all_vectors(spark, tmp_path, monkeypatch):
+    """No sample of the vectors: every row reaches the folds."""
+    seen = []
+
+    def spy(rows, key, *_):
+        seen.extend(r[0] for r in rows.select(key).collect())
+        return spark.createDataFrame([(1.0, 0.5, True)], "cost double, accuracy double, is_best boolean")
+
+    monkeypatch.setattr(reduce, "cross_validate_grid", spy)
+    rows = [(i, [float(i % 7), float(i % 3)], i % 4) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    load().QUERIES["cross_validate_grid"](spark, str(tmp_path)).collect()
+    assert sorted(seen) == list(range(200))
